@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollbook.llm import bpe_codec, token_files
+from rollbook.llm import bpe_codec, decontaminate, simhash, token_files
 from rollbook.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,5 +22,13 @@ def op2_bpe_codec(spark, sf_dir):
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe_codec)}
+def op4_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe_codec, op4_simhash, op5_decontaminate)}
 ORACLES: dict[str, str] = {}
