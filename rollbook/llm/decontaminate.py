@@ -210,16 +210,12 @@ def _scan(phrases: Phrases):
                     spans[a + t] = _merged(spans[a + t] + list(zip(w.tolist(), (w + phrases.lens[p]).tolist())))
                     items[a + t].update(np.concatenate([phrases.owners[x] for x in np.unique(p)]).tolist())
             n_words = np.concatenate([np.zeros(0, np.int64), *counts])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()),
-                    batch.column("text"),
-                    pa.array(n_words),
-                    pa.array([[{"first": x, "after": y} for x, y in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "text", "n_words", "spans", "items"],
-            )
+            found = {
+                "n_words": pa.array(n_words),
+                "spans": pa.array([[{"first": x, "after": y} for x, y in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))),
+                "items": pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
+            }
+            yield pa.RecordBatch.from_arrays([found.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
     return run
 
@@ -234,25 +230,25 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
         yield [(r.i, bytes(r.t)) for r in own.collect()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, text, n_words, spans (of word positions, merged, `after` not included) and items."""
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<long>").alias("items"))
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col="text") -> DataFrame:
+    """row (all columns of docs), text, n_words, spans (of word positions, merged, `after` not
+    included), items, and the verdict on them."""
+    out = docs.select(
+        F.struct("*").alias("row"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<long>").alias("items")
+    )
     for block in _blocks(benchmark, "item_id", "text"):
-        out = out.select("doc_id", "text", "spans", "items").mapInArrow(_scan(Phrases(block, window)), f"doc_id long, text string, n_words long, spans {SPANS}, items array<long>")
-    return out
-
-
-def _verdict(found: DataFrame) -> DataFrame:
+        out = out.mapInArrow(_scan(Phrases(block, window)), out.schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s.after - s.first)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.select("*", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256")).withColumn(
+    return out.select("*", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256")).withColumn(
         "contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words")
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
-    return _verdict(matches(docs, benchmark, **names)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    found = matches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), benchmark, **options)
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
 
 
 def _word_offsets(text: str) -> list[tuple[int, int]]:
@@ -269,9 +265,7 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return text
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col="text") -> DataFrame:
     """Pipeline stage: documents that the contamination rule names go; all others stay as they
-    were, with all their columns. Rows with a null id stay."""
-    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col)
-    gone = found.where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    were, with all their columns, in one pass."""
+    return matches(docs, benchmark, text_col=text_col).where("NOT contaminated").select("row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollbook.llm import bpe_codec, decontaminate, simhash, token_files
+from rollbook.llm import bpe_codec, decontaminate, simhash, token_files, toxicity
 from rollbook.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op2_bpe_codec(spark, sf_dir):
     return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_toxicity(spark, sf_dir):
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe_codec, op4_simhash, op5_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe_codec, op3_toxicity, op4_simhash, op5_decontaminate)}
 ORACLES: dict[str, str] = {}
