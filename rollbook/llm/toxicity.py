@@ -47,7 +47,7 @@ _CLASS[0xC0:] = 27
 #: What a symbol may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "2": "z", "6": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 #: Log probabilities of the channel.
-STAND_IN, DROPPED, REPEATED, BROKEN = -0.7, -0.7, -0.5, -4.0
+STAND_IN, DROPPED, REPEATED, BROKEN = -0.7, -0.7, -0.5, -8.0
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’*_-–—/\\"
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _TRIPLE = re.compile(r"(.)\1\1")
