@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollbook.llm import bpe_codec, decontaminate, language, simhash, token_files, toxicity
+from rollbook.llm import ann, bpe_codec, decontaminate, language, simhash, token_files, toxicity
 from rollbook.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,5 +38,9 @@ def op8_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe_codec, op3_toxicity, op4_simhash, op5_decontaminate, op8_language)}
+def op9_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe_codec, op3_toxicity, op4_simhash, op5_decontaminate, op8_language, op9_ann)}
 ORACLES: dict[str, str] = {}
