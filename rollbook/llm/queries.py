@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollbook.llm import ann, bpe_codec, chat, decontaminate, language, simhash, token_files, toxicity
+from rollbook.llm import ann, bpe_codec, chat, decontaminate, language, licenses, simhash, token_files, toxicity
 from rollbook.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -74,5 +74,9 @@ def op9_ann(spark, sf_dir):
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe_codec, op3_toxicity, op4_simhash, op5_decontaminate, op6_chat, op8_language, op9_ann)}
+def op10_licenses(spark, sf_dir):
+    return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe_codec, op3_toxicity, op4_simhash, op5_decontaminate, op6_chat, op8_language, op9_ann, op10_licenses)}
 ORACLES: dict[str, str] = {"op6_chat": OP6_SQL}
