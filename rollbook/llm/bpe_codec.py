@@ -9,7 +9,7 @@ at white space the ids of both sides agree exactly with those of the whole text,
 `WordEncoder` checks for the tokenizer at hand.
 
 Defined cases: a null text counts as empty (no ids, empty decoding); repeated rows repeat; other
-columns are left out by `encode_documents` and kept by `bpe_stage`.
+columns are left out.
 """
 
 from __future__ import annotations
@@ -145,19 +145,24 @@ def encode_documents(docs: DataFrame, path: str, id_col="doc_id", text_col="text
     return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
-def digests(docs: DataFrame, path: str, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, without carrying ids or texts along."""
+def digests(docs: DataFrame, path: str, id_col="doc_id", text_col="text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for."""
 
     def run(batches):
         for batch in batches:
-            n, ids_hex, text_hex = [], [], []
+            n, ids_hex, text_hex, all_ids = [], [], [], []
             for ids, decoded in _coded(path, batch, text_col):
+                raw = ids.astype("<u4").tobytes()
                 n.append(len(ids))
-                ids_hex.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                ids_hex.append(hashlib.sha256(raw).hexdigest())
                 text_hex.append(hashlib.sha256(decoded).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(id_col).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    all_ids.append(raw)
+            columns = [batch.column(id_col).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns, names = [*columns, pa.array(all_ids, pa.binary())], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
+    return docs.select(id_col, text_col).mapInArrow(run, schema)

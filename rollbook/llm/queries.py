@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollbook.llm import ann, bpe_codec, chat, decontaminate, language, licenses, simhash, token_files, toxicity
+from rollbook.llm import ann, bpe_codec, chat, decontaminate, language, licenses, lines, simhash, token_files, toxicity
 from rollbook.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,6 +66,10 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op7_line_dedup(spark, sf_dir):
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -78,5 +82,5 @@ def op10_licenses(spark, sf_dir):
     return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe_codec, op3_toxicity, op4_simhash, op5_decontaminate, op6_chat, op8_language, op9_ann, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_bpe_codec, op3_toxicity, op4_simhash, op5_decontaminate, op6_chat, op7_line_dedup, op8_language, op9_ann, op10_licenses)}
 ORACLES: dict[str, str] = {"op6_chat": OP6_SQL}
