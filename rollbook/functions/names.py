@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What is dropped from the front of a name, as entities and as members spell it.
-HONORIFICS = ("shri", "smt", "kumari", "kum", "dr", "prof", "adv", "advocate", "mr", "mrs", "ms", "sri", "shrimati", "sardar", "col")
-MEMBER_HONORIFICS = ("shri", "smt", "dr", "prof", "kumari", "mr", "mrs", "ms", "adv")
+#: What is dropped from a name, as entities and as members spell it.
+HONORIFICS = r"(?i)\b(Shri|Smt|Dr|Prof|Babu|Ven'ble|Kumari|Sushri|Sardar|Adv|Hon'ble|Mr|Mrs|Ms)\b\.?\s*"
+MEMBER_HONORIFICS = r"(?i)\b(Shri|Smt|Dr|Prof|Babu|Ven'ble|Kumari|Sushri|Sardar)\b\.?\s*"
 UNITS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())}
 TENS = {w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
 ORDINALS = {"first": 1, "second": 2, "third": 3, "fifth": 5, "eighth": 8, "ninth": 9, "twelfth": 12}
+SCALES = {"hundred": 100, "thousand": 1000}
 
 
 def number_words() -> dict[str, int]:
@@ -18,7 +19,7 @@ def number_words() -> dict[str, int]:
     out = UNITS | TENS | ORDINALS
     out |= {w + "th": n for w, n in UNITS.items() if n and n not in ORDINALS.values()}
     out |= {w[:-1] + "ieth": n for w, n in TENS.items()}
-    return {w: n for w, n in out.items() if w != "zero"}
+    return out
 
 
 def _tokens(text: Column) -> Column:
@@ -26,26 +27,26 @@ def _tokens(text: Column) -> Column:
 
 
 def normal_person(name) -> Column:
-    """'Last, First' turned round at the first comma, honorifics dropped, lower case, punctuation
-    to spaces, tokens sorted."""
-    turned = F.when(F.instr(name, ",") > 0, F.concat_ws(" ", F.regexp_extract(name, r"^[^,]*,(.*)$", 1), F.regexp_extract(name, r"^([^,]*),", 1))).otherwise(name)
-    plain = F.regexp_replace(F.lower(turned), r"[^\p{L}\p{N}\p{M}]+", " ")
-    drop = F.array(*map(F.lit, HONORIFICS))
-    return F.array_join(F.array_sort(F.filter(_tokens(plain), lambda t: ~F.array_contains(drop, t))), " ")
+    """'Last, First' turned round at the first comma, honorifics dropped, lower case, all but
+    letters and digits of ASCII to spaces, tokens sorted."""
+    turned = F.when(F.instr(name, ",") > 0, F.concat_ws(" ", F.trim(F.regexp_extract(name, r"(?s)^[^,]*,(.*)$", 1)), F.trim(F.regexp_extract(name, r"^([^,]*),", 1)))).otherwise(name)
+    plain = F.regexp_replace(F.lower(F.regexp_replace(turned, HONORIFICS, "")), r"[^a-z0-9]+", " ")
+    return F.array_join(F.array_sort(_tokens(plain)), " ")
 
 
 def normal_member(name) -> Column:
-    """A comma turns the name only if there is one; punctuation is removed, not spaced; the order
-    of the tokens stays."""
+    """A comma turns the name only if it is the only one; points to spaces, other punctuation is
+    removed, not spaced; tokens sorted."""
     parts = F.split(name, ",")
     turned = F.when(F.size(parts) == 2, F.concat_ws(" ", F.trim(parts[1]), F.trim(parts[0]))).otherwise(name)
-    plain = F.regexp_replace(F.lower(turned), r"[^\p{L}\p{N}\p{M}\s]+", "")
-    drop = F.array(*map(F.lit, MEMBER_HONORIFICS))
-    return F.array_join(F.filter(_tokens(plain), lambda t: ~F.array_contains(drop, t)), " ")
+    plain = F.replace(F.lower(F.regexp_replace(turned, MEMBER_HONORIFICS, "")), F.lit("."), F.lit(" "))
+    return F.array_join(F.array_sort(_tokens(F.regexp_replace(plain, r"[^a-z0-9\s]", ""))), " ")
 
 
 def slug(name) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    """Words in their order, joined by underscores, honorifics dropped."""
+    plain = F.regexp_replace(F.replace(F.lower(name), F.lit("."), F.lit(" ")), HONORIFICS, "")
+    return F.array_join(_tokens(F.regexp_replace(plain, r"[^a-z0-9\s]", " ")), "_")
 
 
 def entity_id(name, *context) -> Column:
@@ -58,41 +59,50 @@ def words_to_int(phrase) -> Column:
     """'three hundred and sixty sixth' is 366. A word that is no number makes it null, zero too;
     a scale without a number before it counts once."""
     values = F.create_map(*(F.lit(x) for pair in number_words().items() for x in pair))
+    scales = F.create_map(*(F.lit(x) for pair in SCALES.items() for x in pair))
     tokens = F.filter(F.split(F.regexp_replace(F.lower(phrase), r"[^a-z]+", " "), " "), lambda t: ~t.isin("", "and"))
     start = F.struct(F.lit(0).alias("total"), F.lit(0).alias("now"), F.lit(True).alias("ok"))
 
     def step(s, t):
-        one = F.when(s.now == 0, 1).otherwise(s.now)
-        hundred, thousand = t.isin("hundred", "hundredth"), t.isin("thousand", "thousandth")
-        value = F.try_element_at(values, t)
+        value, scale = F.try_element_at(values, t), F.try_element_at(scales, t)
+        grown = F.when(scale.isNotNull(), F.when(s.now == 0, 1).otherwise(s.now) * scale).otherwise(s.now + F.coalesce(value, F.lit(0)))
+        closed = F.coalesce(scale >= 1000, F.lit(False))
         return F.struct(
-            F.when(thousand, s.total + one * 1000).otherwise(s.total).alias("total"),
-            F.when(thousand, 0).when(hundred, one * 100).otherwise(s.now + F.coalesce(value, F.lit(0))).alias("now"),
-            (s.ok & (hundred | thousand | value.isNotNull())).alias("ok"),
+            F.when(closed, s.total + grown).otherwise(s.total).alias("total"),
+            F.when(closed, 0).otherwise(grown).alias("now"),
+            (s.ok & (scale.isNotNull() | value.isNotNull())).alias("ok"),
         )
 
     out = F.aggregate(tokens, start, step, lambda s: F.when(s.ok, s.total + s.now))
-    return F.when(out != 0, out)
+    return F.when(out > 0, out)
+
+
+#: The phrases that name another report.
+CONTAINED = r"(?is)contained\s+in\s+the\s+(.{1,80}?)\s+Report\b"
+REPORT_NO = r"(?i)\bReport\s+No\.?\s*(\d{1,9})\b"
+ANY_ORDINAL = r"(?i)(\d{1,9})(?:st|nd|rd|th)?\s+Report\b"
 
 
 def referenced_number(title) -> Column:
-    """The report that a title refers to: an anchored phrase (digits, else words), then 'Report
-    No.', then any ordinal."""
-    phrase = F.regexp_extract(title, r"(?i)contained in (?:the|their|its)\s+(.{1,80}?)\s+report", 1)
-    digits = F.regexp_extract(phrase, r"(\d+)(?:st|nd|rd|th)?\s*$", 1)
+    """The report that a title refers to: an anchored phrase (digits at its end, else words), then
+    'Report No.', then any numbered report."""
+    phrase = F.trim(F.regexp_extract(title, CONTAINED, 1))
     return F.coalesce(
-        digits.try_cast("int"),
+        F.regexp_extract(phrase, r"(\d{1,9})(?:st|nd|rd|th)?$", 1).try_cast("int"),
         F.when(phrase != "", words_to_int(phrase)),
-        F.regexp_extract(title, r"(?i)report\s+no\.?\s*(\d{1,6})", 1).try_cast("int"),
-        F.regexp_extract(title, r"(?i)\b(\d{1,6})(?:st|nd|rd|th)\b", 1).try_cast("int"),
+        F.regexp_extract(title, REPORT_NO, 1).try_cast("int"),
+        F.regexp_extract(title, ANY_ORDINAL, 1).try_cast("int"),
     )
 
 
 def referenced_key(house, term, slug_, number) -> Column:
-    """The lower house needs its term; what is missing makes the key null."""
-    lower = F.upper(house) == "LS"
-    enough = slug_.isNotNull() & (slug_ != "") & number.isNotNull() & (~lower | term.isNotNull())
-    return F.when(enough, F.when(lower, F.concat_ws("|", F.lit("LS"), term.cast("string"), slug_, number.cast("string"))).otherwise(F.concat_ws("|", F.upper(house), slug_, number.cast("string"))))
+    """LS|slug|number|term or RS|slug|number; the lower house needs its term; what is missing makes
+    the key null."""
+    low = F.lower(house)
+    enough = F.coalesce(slug_ != "", F.lit(False)) & number.isNotNull()
+    parts = (slug_, number.cast("string"))
+    lower_ = F.when(term.isNotNull(), F.concat_ws("|", F.lit("LS"), *parts, term.cast("string")))
+    return F.when(enough, F.when(low.startswith("lok") | (low == "ls"), lower_).when(low.startswith("raj") | (low == "rs"), F.concat_ws("|", F.lit("RS"), *parts)))
 
 
 def _unmarked() -> tuple[str, str]:

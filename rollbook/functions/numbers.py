@@ -87,11 +87,10 @@ def values_of(metadata, key: str) -> Column:
 
 
 def excerpt(text, most: int) -> Column:
-    """White space collapsed, cut at the last space within `most` characters, with an ellipsis."""
+    """White space collapsed, cut at the last space within `most` characters, with three points."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     head = F.substring(flat, 1, most)
-    cut = F.regexp_replace(head, r"\s+\S*$", "")
-    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(cut, F.lit("…")))
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.regexp_replace(head, r" [^ ]*$", ""), F.lit("...")))
 
 
 def records(header, rows) -> Column:

@@ -7,15 +7,30 @@ from pyspark.sql import functions as F
 
 #: Where an answer begins, in order of priority; the last also stands in headers.
 BOUNDARIES = (
-    ("answer_header", r"(?m)^[ \t]*ANSWER[ \t]*$"),
-    ("reply_header", r"(?m)^[ \t]*REPLY[ \t]*$"),
-    ("minister_of", r"(?m)^[ \t]*THE (?:HON'?BLE )?(?:PRIME )?MINISTER (?:OF|IN)\b"),
-    ("minister_state", r"(?m)^[ \t]*MINISTER OF STATE\b"),
-    ("to_laid", r"(?i)laid on the table of the house"),
-    ("answered_on", r"(?i)to be answered on"),
+    r"^\s*ANSWER\s*$",
+    r"^\s*REPLY\s*$",
+    r"^\s*Reply\s+by\b.{0,200}?:",
+    r"^\s*Answer\s+by\b.{0,200}?:",
+    r"\bSHRI\b.{0,60}\b(?:MINISTER|MOS)\b",
+    r"\bTO\s+BE\s+ANSWERED\s+ON\b",
 )
-#: Letters of another alphabet that look like Latin ones.
-LOOKALIKES = ("АВЕКМНОРСТХаеорсух", "ABEKMHOPCTXaeopcyx")
+#: Marks of an answer, of a letterhead and of a question's header, and letters of
+#: another alphabet that are drawn like Latin ones.
+ANSWER_MARKS = r"(?i)\bANSWER(?:ED)?\b|उ.{0,4}राथ|उत्तर"
+LETTERHEADS = r"(?i)\b(?:LOK|RAJYA)\s*S[AH]{1,3}BHA\b|GOVERNMENT\s+OF\s+INDIA|(?:UN[-\s]?)?STARRED\s+QUESTION|(?:लोक|रा.{0,3}?)\s*सभा|भारत\s*सरकार|अतारां|तारांिकत"
+QUESTION_HEADER = r"(?i)\bTO\s+BE\s+ANSWER(?:ED)?\b"
+LOOKALIKES = ("АВЕКМНОРСТХУІЈ", "ABEKMHOPCTXYIJ")
+#: The line of the answering day, the asker's line, the question's stem, and a
+#: minister's name in the head of an answer.
+ANSWERED_ON = r"\bANSWERED\s+ON\b\s*[:.,]?\s*\d.*?$"
+ASKER = r"^\s*\*?\s*\d+\.?\s+(?:SHRI|SHRIMATI|SMT|DR|KUMARI|PROF)[A-Z\.\s,]+:\s*$"
+STEM = r"(?is)\bWill\s+the\s+Minister\b.*?:"
+MINISTER = r"(?is)\b(?:THE\s+)?MINISTER\s+(?:OF\s+STATE\s+(?:IN\s+THE\s+MINISTRY\s+OF|FOR)\b|OF\s+(?!STATE)|FOR)[^()]{0,250}?\(([^()]{4,}?\s[^()]{1,})\)"
+
+
+def stripped(text) -> Column:
+    """Without white space at either end, line breaks too."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def contains_any(text, terms) -> Column:
@@ -42,57 +57,67 @@ def first_match(text, ladder, default) -> Column:
 
 
 #: Ladders, the first that matches counts.
-REPORT_TYPES = (("action_taken", r"(?i)action[ -]taken"), ("demands_for_grants", r"(?i)demands? for grants?"), ("bill", r"(?i)\bbill\b"), ("subject", r"(?i)\b(?:review|implementation|working|performance|role) of\b"))
+REPORT_TYPES = (
+    ("action_taken", r"(?i)\baction[\s\-]+taken\b"),
+    ("demands_for_grants", r"(?i)\bdemands?\s+for\s+grants?\b"),
+    ("bill", r"(?i)\b(?:Bill|Bills)\b"),
+    ("subject", r"(?i)\b(?:review|working|functioning|performance|evolving\s+role|role\s+of|promoting|promotion\s+of|roadmap|status|examination|implementation|impact|study|assessment|emerging\s+issues|policy|issues\s+(?:relating|pertaining)\s+to)\b"),
+)
 POST_TYPES = (("professor", r"(?i)\bprofessors?\b"), ("postdoc", r"(?i)post-?\s?doc"), ("research", r"(?i)\b(?:research|project) (?:associate|assistant|fellow|scientist)|\b[js]rf\b"), ("teaching", r"(?i)\b(?:lecturer|instructor|faculty|teacher)"), ("administrative", r"(?i)\b(?:registrar|officer|director|dean|librarian)"))
 CONTRACTS = (("contractual", r"(?i)contract|temporary|ad-?hoc"), ("guest", r"(?i)\bguest\b|visiting"), ("tenure_track", r"(?i)tenure"), ("permanent", r"(?i)\bregular\b|permanent"))
-VACANCY = r"(?iu)vacan|unfilled|sanctioned (?:strength|posts?)|रिक्त|रिक्ति"
+VACANCY = r"(?iu)vacan|sanctioned\s+(?:strength|posts?)|men[\s-]+in[\s-]+position|backlog|lying\s+vacant|posts?\s+abolished|abolition\s+of\s+posts?|shortage\s+of\s+(?:staff|officers|manpower)|रिक्त|मंज़ूर\s*पद|मंजूर\s*पद"
 
 
 def clean(text) -> Column:
-    """Lone page numbers and paragraph marks dropped, blanks collapsed, two line breaks at most."""
-    out = F.regexp_replace(text, r"(?m)^[ \t]*\d{1,4}[ \t]*$", "")
-    out = F.regexp_replace(out, r"\(Para(?:graph)?s? [\d.]+\)", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    """Lines that are a number and paragraph marks dropped, blanks collapsed, two line breaks at
+    most, stripped."""
+    out = F.regexp_replace(text, r"(?m)^\s*\d+\s*$", "")
+    out = F.regexp_replace(out, r"\(Para\s+\d+(?:\.\d+)*\)", "")
+    return stripped(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
 def split_qa(text) -> Column:
-    """struct(question, answer, marker, confidence): the first boundary by priority, not by place,
-    that leaves text on both sides; nulls without one."""
+    """struct(question, answer, marker, confidence) of a letter: cut at the first boundary by
+    priority, not by place. Null without a boundary, or if that one leaves a side empty."""
+    body = clean(text)
     out = F.lit(None).cast("struct<question:string,answer:string,marker:string,confidence:double>")
-    for name, pattern in reversed(BOUNDARIES):
-        parts = F.split(text, pattern, 2)
-        question, answer = F.trim(parts[0]), F.trim(F.get(parts, F.lit(1)))
-        good = (F.size(parts) == 2) & (question != "") & (answer != "")
-        found = F.struct(question.alias("question"), answer.alias("answer"), F.lit(name).alias("marker"), F.when(F.length(answer) > 50, 0.85).otherwise(0.5).alias("confidence"))
-        out = F.when(good, found).otherwise(out)
+    for boundary in reversed(BOUNDARIES):
+        pattern = "(?im)" + boundary
+        parts = F.split(body, pattern, 2)
+        question, answer = stripped(parts[0]), stripped(F.get(parts, F.lit(1)))
+        found = F.struct(question.alias("question"), answer.alias("answer"), stripped(F.regexp_extract(body, pattern, 0)).alias("marker"), F.when(F.length(answer) > 50, 0.85).otherwise(0.5).alias("confidence"))
+        out = F.when(body.rlike(pattern), F.when((question != "") & (answer != ""), found)).otherwise(out)
     return out
 
 
 def subject(question) -> Column:
-    """What stands between the line of the answering day and the asker's, 200 characters at most."""
-    found = F.regexp_extract(question, r"(?is)answered on[^\n]*\n(.*?)\n[^\n]*(?:shri|smt|dr|prof|will the)", 1)
-    return F.nullif(F.substring(F.trim(F.regexp_replace(found, r"\s+", " ")), 1, 200), F.lit(""))
+    """What stands between the line of the answering day and the asker's (else in the next 300
+    characters), its lines joined, 200 characters at most; empty without such a day."""
+    after = F.get(F.split(question, "(?im)" + ANSWERED_ON, 2), F.lit(1))
+    before_asker = F.split(after, "(?im)" + ASKER, 2)
+    found = F.when(F.size(before_asker) == 2, before_asker[0]).otherwise(F.substring(after, 1, 300))
+    lines = F.filter(F.transform(F.split(found, r"\r\n|\r|\n"), stripped), lambda x: x != "")
+    return F.coalesce(F.substring(F.array_join(lines, " "), 1, 200), F.lit(""))
 
 
 def stem_and_body(question) -> Column:
-    pattern = r"(?is)(will the\s+.*?minister.*?(?:be pleased to state)?\s*:)\s*(.*)$"
-    return F.struct(F.nullif(F.trim(F.regexp_extract(question, pattern, 1)), F.lit("")).alias("stem"), F.nullif(F.trim(F.regexp_extract(question, pattern, 2)), F.lit("")).alias("body"))
+    """struct(stem, body): 'Will the Minister ... :' and what follows; both empty without it."""
+    stem = F.regexp_extract(question, STEM, 0)
+    body = F.get(F.split(question, STEM, 2), F.lit(1))
+    return F.struct(stripped(stem).alias("stem"), F.coalesce(stripped(body), F.lit("")).alias("body"))
 
 
 def minister_and_body(answer) -> Column:
-    """A parenthesised name of two words and four characters at least, and the rest."""
-    pattern = r"(?is)^.{0,200}?\(([^()\n]*\S \S[^()\n]*)\)"
-    name = F.trim(F.regexp_extract(answer, pattern, 1))
-    good = (F.length(name) >= 4) & name.contains(" ")
-    return F.struct(F.when(good, name).alias("minister"), F.trim(F.when(good, F.regexp_replace(F.regexp_replace(answer, pattern, ""), r"^[\s.:;,-]+", "")).otherwise(answer)).alias("body"))
+    """struct(minister, body): the name in the head of an answer and the rest, else the whole."""
+    rest = F.get(F.split(answer, MINISTER, 2), F.lit(1))
+    return F.struct(stripped(F.regexp_extract(answer, MINISTER, 1)).alias("minister"), F.coalesce(F.regexp_replace(rest, r"^[\s:]+", ""), answer).alias("body"))
 
 
 def looks_like_answer(text, least: int = 200) -> Column:
     """Long enough, an answer's mark outside the question's header, and a letterhead."""
-    folded = F.translate(text, *LOOKALIKES)
-    rest = F.regexp_replace(folded, r"(?i)to be answered on[^\n]*", "")
-    return F.coalesce((F.length(F.trim(text)) >= least) & rest.rlike(r"(?i)\banswer\b|\breply\b") & folded.rlike(r"(?i)government of|ministry of|minister"), F.lit(False))
+    body = F.translate(stripped(text), *LOOKALIKES)
+    rest = F.regexp_replace(body, QUESTION_HEADER, " ")
+    return F.coalesce((F.length(body) >= least) & rest.rlike(ANSWER_MARKS) & body.rlike(LETTERHEADS), F.lit(False))
 
 
 def needs_ocr(text, least: int = 200) -> Column:
@@ -104,19 +129,25 @@ def recovery(before, after, accepted) -> Column:
     return F.when(after.isNull() | (F.length(after) <= F.length(F.coalesce(before, F.lit("")))), "kept").when(accepted, "recovered").otherwise("rejected")
 
 
-def presented(both_dates_ls, rs, speaker) -> Column:
+def report_type(title) -> Column:
+    return first_match(F.coalesce(title, F.lit("")), REPORT_TYPES, "other")
+
+
+def presented(ls, rs, speaker) -> Column:
     """Through which houses, by the dates that are not blank."""
     there = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
-    return F.when(there(both_dates_ls) & there(rs), "both").when(there(both_dates_ls), "ls").when(there(rs), "rs").when(there(speaker), "speaker").otherwise("none")
+    return F.when(there(ls) & there(rs), "both_houses").when(there(ls), "ls_only").when(there(rs), "rs_only").when(there(speaker), "speaker_only").otherwise("none")
 
 
-def source_class(kind, report_type) -> Column:
-    return F.when(kind == "qa", "qa").when((kind == "committee_report") & (report_type == "action_taken"), "atr").when((kind == "committee_report") & report_type.isin("demands_for_grants", "subject"), "observations").otherwise("skip")
+def source_class(kind, report_type_) -> Column:
+    """Which extractor a record goes to: every committee report but an action-taken one holds
+    observations."""
+    return F.when(kind == "qa", "qa").when((kind == "committee_report") & F.coalesce(report_type_ == "action_taken", F.lit(False)), "atr").when(kind == "committee_report", "observations").otherwise("skip")
 
 
 def number_verdict(requested, printed) -> Column:
     strip = lambda c: F.regexp_replace(F.trim(c), "^0+", "")
-    return F.when(printed.isNull() | (F.trim(printed) == ""), "unreadable").when(strip(requested) == strip(printed), "verified").otherwise("mismatch")
+    return F.when(printed.isNull() | (F.trim(printed) == ""), "unreadable").when(strip(F.coalesce(requested, F.lit(""))) == strip(printed), "verified").otherwise("mismatch")
 
 
 def vacancy_counts(sanctioned, in_position, vacant) -> Column:

@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FRAMEWORKS = ("__NEXT_DATA__", "ng-version", "data-reactroot", "id=\"root\"", "id=\"app\"", "__NUXT__", "data-server-rendered", "window.__INITIAL_STATE__")
-#: The ports that a scheme implies, as a pattern.
-_AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)"
+#: Marks of pages that a script fills, and what they stand for.
+FRAMEWORKS = (("__NUXT__", "Nuxt"), ("data-n-head-ssr", "Nuxt"), ("__NEXT_DATA__", "Next.js"), ('id="__next"', "Next.js"), ("__N_SSP", "Next.js (server-side props)"), ("<app-root", "Angular"), ('id="root"', "React root element"))
+#: The authority of a URL, its host and its port; a URL may come without a scheme.
+_AUTHORITY = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?"
+
+
+def _full(url) -> Column:
+    return F.when(url.contains("//"), url).otherwise(F.concat(F.lit("//"), url))
 
 
 def host(url) -> Column:
-    """Lower case, without www. and a default port."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, _AUTHORITY, 1)), r":(?:80|443)$", ""), r"^www\.", "")
+    """Lower case, without www.; a port stays unless the scheme (http, if none is given) implies it."""
+    full = _full(url)
+    scheme, name, port = (F.regexp_extract(full, _AUTHORITY, i) for i in (1, 2, 3))
+    implied = F.when(F.lower(scheme) == "https", "443").otherwise("80")
+    return F.concat(F.regexp_replace(F.lower(name), r"^www\.", ""), F.when((port != "") & (port != implied), F.concat(F.lit(":"), port)).otherwise(""))
 
 
 def canonical(url) -> Column:
-    """Host, path and query without scheme, www., default port, fragment and trailing slash."""
-    tail = F.regexp_replace(F.regexp_replace(url, _AUTHORITY, ""), r"#.*$", "")
-    path, query = F.regexp_replace(tail, r"\?.*$", ""), F.regexp_extract(tail, r"(\?.*)$", 1)
+    """Host, path and query without scheme, www., default port, fragment and trailing slashes."""
+    tail = F.regexp_replace(F.regexp_replace(_full(url), _AUTHORITY, ""), r"#.*$", "")
+    path, query = F.regexp_replace(tail, r"\?.*$", ""), F.regexp_extract(tail, r"(\?.+)$", 1)
     return F.concat(host(url), F.regexp_replace(path, r"/+$", ""), query)
 
 
@@ -28,18 +36,24 @@ def on_host(url, own: str) -> Column:
     return F.when(host(url) == own.lower(), bare).otherwise("")
 
 
-def safe_segment(value, collapse: bool = True) -> Column:
-    out = F.regexp_replace(value, r"[^A-Za-z0-9._-]" + ("+" if collapse else ""), "_")
+def safe_segment(value, collapse: bool = False, strip: bool = True) -> Column:
+    """All but letters, digits, '.', '_' and '-' to '_'; no leading points; 'unknown' if empty.
+    collapse: a run becomes one, and (strip) none stays at the ends."""
+    out = F.regexp_replace(F.trim(value), r"[^A-Za-z0-9._-]" + ("+" if collapse else ""), "_")
+    if collapse and strip:
+        out = F.regexp_replace(out, r"^_+|_+$", "")
     return F.coalesce(F.nullif(F.regexp_replace(out, r"^\.+", ""), F.lit("")), F.lit("unknown"))
 
 
 def destination(url, most: int = 120) -> Column:
-    """A relative path for a URL: index.html for folders, a hash for a query, safe segments."""
+    """A relative path for a URL: index.html in folders and for paths without a suffix, a hash for
+    a query, segments of safe characters."""
     bare = F.regexp_replace(F.regexp_replace(url, _AUTHORITY, ""), r"#.*$", "")
-    path, query = F.regexp_replace(bare, r"\?.*$", ""), F.regexp_extract(bare, r"\?(.*)$", 1)
-    path = F.when(path.endswith("/") | (path == ""), F.concat(path, F.lit("index.html"))).otherwise(path)
-    parts = F.transform(F.filter(F.split(path, "/"), lambda p: p != ""), lambda p: F.substring(safe_segment(p), 1, most))
-    return F.concat(F.array_join(parts, "/"), F.when(query != "", F.concat(F.lit("-"), F.substring(F.sha1(query), 1, 8))).otherwise(""))
+    path, query = F.regexp_replace(F.try_url_decode(F.regexp_replace(bare, r"\?.*$", "")), r"^/+", ""), F.regexp_extract(bare, r"\?(.*)$", 1)
+    path = F.when((path == "") | path.endswith("/"), F.concat(path, F.lit("index.html"))).when(~path.rlike(r"[^/]\.[^./]+$"), F.concat(path, F.lit("/index.html"))).otherwise(path)
+    path = F.concat(path, F.when(query != "", F.concat(F.lit("__"), F.substring(F.sha1(query), 1, 8))).otherwise(""))
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", ".", ".."))
+    return F.array_join(F.transform(parts, lambda p: F.substring(F.regexp_replace(p, r"[^A-Za-z0-9._+~-]", "_"), 1, most)), "/")
 
 
 def public_url(url) -> Column:
@@ -57,8 +71,8 @@ def title(html) -> Column:
 
 
 def frameworks(html) -> Column:
-    """The markers that occur, in fixed order."""
-    return F.filter(F.array(*map(F.lit, FRAMEWORKS)), lambda m: F.contains(html, m))
+    """The frameworks whose marks occur, each once, in fixed order."""
+    return F.array_distinct(F.array_compact(F.array(*(F.when(F.contains(html, F.lit(mark)), F.lit(name)) for mark, name in FRAMEWORKS))))
 
 
 def hrefs(html) -> Column:
@@ -69,12 +83,12 @@ def cell_href(cell) -> Column:
     return F.nullif(F.regexp_extract(cell, r"(?i)href=[\"']([^\"']+)[\"']", 1), F.lit(""))
 
 
-def rendered(html, text, least: int = 200, required: str | None = None) -> Column:
-    """shell, missing or content of a page by its visible text."""
-    long_enough = F.length(F.coalesce(text, F.lit(""))) >= least
-    if required:
-        return F.when(F.contains(text, F.lit(required)), "content").when(long_enough, "missing").otherwise("shell")
-    return F.when(long_enough, "content").when(F.size(frameworks(html)) > 0, "shell").otherwise("missing")
+def rendered(html, text, least: int = 400, required: tuple[str, ...] = ()) -> Column:
+    """struct(rendered, reason, missing, frameworks): required texts that are absent decide first,
+    then the length of the visible text."""
+    missing = F.filter(F.array(*map(F.lit, required)).cast("array<string>"), lambda r: ~F.contains(F.lower(text), F.lower(r)))
+    reason = F.when(F.size(missing) > 0, "required").when(F.length(text) < least, F.when(F.size(frameworks(html)) > 0, "shell").otherwise("short")).otherwise("content")
+    return F.struct((reason == "content").alias("rendered"), reason.alias("reason"), missing.alias("missing"), frameworks(html).alias("frameworks"))
 
 
 def browse_rows(html) -> Column:

@@ -10,7 +10,7 @@ from rollbook.registry import query, table
 
 
 @query("""WITH q AS (SELECT q.conv_id || '|' || q.turn AS key, trim(q.text, ' ') AS question, trim(a.text, ' ') AS answer FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant' WHERE q.role = 'user')
-SELECT key, length(question) AS q, length(answer) AS a, 'answer_header' AS marker, CASE WHEN length(answer) > 50 THEN 0.85 ELSE 0.5 END AS confidence FROM q WHERE question != '' AND answer != ''""")
+SELECT key, length(question) AS q, length(answer) AS a, 'ANSWER' AS marker, CASE WHEN length(answer) > 50 THEN 0.85 ELSE 0.5 END AS confidence FROM q WHERE question != '' AND answer != ''""")
 def i2_split_qa(spark, sf):
     turns = table(spark, sf, "conversations")
     asked = turns.where("role = 'user'").select(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), F.col("text").alias("q"))
