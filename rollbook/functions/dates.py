@@ -29,18 +29,24 @@ def first_of(value, *patterns: str) -> Column:
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(p)).cast("date") for p in patterns))
 
 
+#: The spellings of a bill's dates, each with the shape it needs, and an ISO stamp
+#: whose time must be a possible one.
+BILL_DATES = (
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}$", "yyyy-M-d H:m:s.[SSSSSS][SSSSS][SSSS][SSS][SS][S]"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d H:m:s"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+)
+ISO_STAMP = r"^\d{4}-\d{2}-\d{2}[T ](?:[01]\d|2[0-3]):[0-5]\d(?::(?:[0-5]\d|60)(?:\.\d+)?)?(?:Z|[+-](?:[01]\d|2[0-3]):?[0-5]\d)?$"
+
+
 def bill_date(value) -> Column:
-    """struct(day, unreadable): four spellings, then ISO with a valid time; a text that none of
-    them reads, an impossible day among them, is unreadable."""
+    """struct(day, unreadable): four spellings, then an ISO stamp; a text that none of them reads,
+    an impossible day among them, is unreadable. A date is never cut out of what it isn't."""
     text = _text(value)
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).cast("date"))
-    day = F.coalesce(
-        F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), first_of(text, "d/M/yyyy")),
-        F.when(text.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), first_of(text, "d-M-yyyy")),
-        F.when(text.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"), first_of(F.initcap(text), "d-MMM-yyyy")),
-        F.when(text.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4}$"), first_of(F.initcap(text), "d MMM yyyy")),
-        iso,
-    )
+    read = [F.when(text.rlike(shape), first_of(text, pattern)) for shape, pattern in BILL_DATES]
+    stamp = F.when(text.rlike(ISO_STAMP), first_of(F.substring(text, 1, 10), "yyyy-MM-dd"))
+    day = F.coalesce(*read, stamp)
     return F.struct(day.alias("day"), (day.isNull() & text.isNotNull() & (text != "")).alias("unreadable"))
 
 
@@ -103,14 +109,25 @@ def sitting(dates) -> Column:
     return F.struct(F.array_min(dates).alias("first"), F.array_max(dates).alias("last"), F.size(dates).alias("n"))
 
 
+#: How advertisements state a deadline, in order.
+DEADLINES = (
+    r"(?is)(?:application[s]?|complete[d]?\s+application|submitted)[^\n]{0,300}?(?:on\s+or\s+before|deadline[:\s]+|last\s+date[^\n]{0,20}?)\s+([A-Z][a-z]+\s+\d{1,2},?\s+\d{4})",
+    r"(?is)(?:on\s+or\s+before|deadline\s+is|last\s+date\s+(?:for|of))\s+([A-Z][a-z]+\s+\d{1,2},?\s+\d{4})",
+    r"(?i)Application\s+Last\s+Date[^\d]{0,40}?(\d{1,2}/\d{1,2}/\d{4})",
+    r"(?i)last\s+date[^\n]{0,40}?(\d{1,2}[./-]\d{1,2}[./-]\d{2,4})",
+    r"(?i)last\s+date[^\n]{0,40}?([A-Z][a-z]+\s+\d{1,2},?\s+\d{4})",
+)
+
+
 def deadline(text, as_of: int) -> Column:
-    """ISO date of the first closing phrase whose year is not before the year before `as_of`."""
-    phrases = (
-        r"(?i)last date[^.\n]{0,60}?(\d{1,2})[./-](\d{1,2})[./-](\d{4})",
-        r"(?i)closing date[^.\n]{0,60}?(\d{1,2})[./-](\d{1,2})[./-](\d{4})",
-        r"(?i)deadline[^.\n]{0,60}?(\d{1,2})[./-](\d{1,2})[./-](\d{4})",
-        r"(?i)on or before[^.\n]{0,40}?(\d{1,2})[./-](\d{1,2})[./-](\d{4})",
-        r"(?i)latest by[^.\n]{0,40}?(\d{1,2})[./-](\d{1,2})[./-](\d{4})",
-    )
-    found = [F.date_format(F.try_to_timestamp(F.concat_ws("-", *(F.lpad(F.regexp_extract(text, p, i), n, "0") for i, n in ((3, 4), (2, 2), (1, 2)))), F.lit("yyyy-MM-dd")), "yyyy-MM-dd") for p in phrases]
-    return F.coalesce(*(F.when(F.substring(x, 1, 4).cast("int") >= as_of - 1, x) for x in found))
+    """The first stated deadline, as written, whose year (where it can be read) is not before the
+    year before `as_of`."""
+    flat = F.regexp_replace(text, r"[ \t]+", " ")
+    found = F.concat(*(F.regexp_extract_all(flat, F.lit(p), F.lit(1)) for p in DEADLINES))
+    year = lambda d: F.regexp_extract(d, r"(20\d{2})$", 1).try_cast("int")
+    return F.get(F.filter(F.transform(found, lambda d: F.trim(d)), lambda d: F.coalesce(year(d) >= as_of - 1, F.lit(True))), F.lit(0))
+
+
+def deadline_iso(raw) -> Column:
+    bare = F.regexp_replace(F.trim(raw), r"\.$", "")
+    return F.date_format(first_of(bare, "MMMM d, yyyy", "MMM d, yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy"), "yyyy-MM-dd")

@@ -63,8 +63,26 @@ REPORT_TYPES = (
     ("bill", r"(?i)\b(?:Bill|Bills)\b"),
     ("subject", r"(?i)\b(?:review|working|functioning|performance|evolving\s+role|role\s+of|promoting|promotion\s+of|roadmap|status|examination|implementation|impact|study|assessment|emerging\s+issues|policy|issues\s+(?:relating|pertaining)\s+to)\b"),
 )
-POST_TYPES = (("professor", r"(?i)\bprofessors?\b"), ("postdoc", r"(?i)post-?\s?doc"), ("research", r"(?i)\b(?:research|project) (?:associate|assistant|fellow|scientist)|\b[js]rf\b"), ("teaching", r"(?i)\b(?:lecturer|instructor|faculty|teacher)"), ("administrative", r"(?i)\b(?:registrar|officer|director|dean|librarian)"))
-CONTRACTS = (("contractual", r"(?i)contract|temporary|ad-?hoc"), ("guest", r"(?i)\bguest\b|visiting"), ("tenure_track", r"(?i)tenure"), ("permanent", r"(?i)\bregular\b|permanent"))
+POST_TYPES = (
+    ("Postdoc", r"(?i)\bpost[- ]?doc|\bpostdoctoral\b|\bpost[- ]?doctoral\b|\bpdf\s+position\b"),
+    ("Faculty", r"(?i)\bprofessor\b|\blecturer\b|\breader\b|\bfaculty\s+recruit"),
+    ("Scientific", r"(?i)\b(?:junior|senior)\s+research\s+fellow\b|\bJRF\b|\bSRF\b|\bresearch\s+associate\b|\bproject\s+(?:research\s+)?scientist\b"),
+    (
+        "NonFaculty",
+        r"(?i)\bproject\s+(?:associate|officer|manager|assistant|engineer)\b|\btechnician\b|\bweb\s+developer\b|\benergy\s+(?:manager|engineer)\b|\bsecurity\s+(?:analyst|engineer)\b"
+        r"|\balumni\s+relations\b|\bfire\s+safety\b|\boffice\s+executive\b|\bmedical\s+officer\b|\bconsultant\b",
+    ),
+)
+CONTRACTS = (("Guest", r"(?i)guest"), ("AdHoc", r"(?i)ad-?hoc"), ("Contractual", r"(?i)contractual|contract basis"), ("Visiting", r"(?i)visiting"), ("TenureTrack", r"(?i)tenure[ -]track"), ("Regular", r"(?i)regular|permanent"))
+DEPARTMENTS = (
+    r"(?i)\bDep(?:artment|t)\.?\s+of\s+([^,\n]+?)(?:,\s*IIT|,\s*IIM|,\s*IISER|\s*$)",
+    r"(?i)\b(?:faculty|professor|lecturer|chair)\s+(?:positions?|posts?|openings?)\s+in\s+(.+?)(?:\s+[—–\-]{1,2}\s+|\s*$)",
+)
+PUBLICATIONS = tuple(rf"(?is)({opening}\s+(?:THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|TEN|\d+)[^.]{{10,400}}?(?:journals?|publications?|conferences?)\.?)" for opening in (r"minimum of", r"at least"))
+RESERVATION = (
+    r"(?i)(SC[-\s]\s*\d+(?:\.\d+)?%[^.\n]{0,200}(?:ST|OBC|EWS|PwBD|PwD|NCL)[^\n]{0,40}%)",
+    r"(?i)((?:SC|ST|OBC|EWS|PwBD|PwD)[-\s]\s*\d+(?:\.\d+)?%(?:\s*[;,&]\s*(?:SC|ST|OBC|EWS|PwBD|PwD|NCL)[^\n]{0,30}%){2,})",
+)
 VACANCY = r"(?iu)vacan|sanctioned\s+(?:strength|posts?)|men[\s-]+in[\s-]+position|backlog|lying\s+vacant|posts?\s+abolished|abolition\s+of\s+posts?|shortage\s+of\s+(?:staff|officers|manpower)|रिक्त|मंज़ूर\s*पद|मंजूर\s*पद"
 
 
@@ -155,20 +173,28 @@ def vacancy_counts(sanctioned, in_position, vacant) -> Column:
     return F.struct(F.coalesce(vacant, sanctioned - in_position).alias("vacant"), vacant.isNotNull().alias("vacant_stated"))
 
 
+def post_type(title) -> Column:
+    return first_match(title, POST_TYPES, "Unknown")
+
+
+def contract_status(context) -> Column:
+    return first_match(context, CONTRACTS, "Unknown")
+
+
 def department(title) -> Column:
-    one = F.regexp_extract(title, r"(?i)(?:department|school|centre|center) of ([A-Z][\w &,-]*\w)", 1)
-    two = F.regexp_extract(title, r"(?i)\bin ([A-Z][\w &-]*\w)", 1)
-    return F.coalesce(F.nullif(one, F.lit("")), F.nullif(two, F.lit("")))
+    return F.coalesce(*(F.nullif(F.trim(F.regexp_extract(title, p, 1)), F.lit("")) for p in DEPARTMENTS))
 
 
 def publications(text) -> Column:
     """Up to three different phrases about publications."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)(\d+\s+(?:research )?(?:publications?|papers?)[^.\n]{0,60})"), F.lit(1)))
-    return F.nullif(F.array_join(F.slice(F.transform(found, lambda x: F.trim(x)), 1, 3), " | "), F.lit(""))
+    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in PUBLICATIONS))
+    flat = F.array_distinct(F.transform(found, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))
+    return F.nullif(F.array_join(F.slice(flat, 1, 3), " | "), F.lit(""))
 
 
 def reservation_note(text) -> Column:
-    return F.nullif(F.regexp_replace(F.regexp_extract(text, r"(?i)(reservation (?:for|of|as per)[^\n]{0,120})", 1), r"[\s.,;:]+$", ""), F.lit(""))
+    flat = F.regexp_replace(text, r"\s+", " ")
+    return F.coalesce(*(F.nullif(F.regexp_replace(F.trim(F.regexp_extract(flat, p, 1)), r"[.,;]+$", ""), F.lit("")) for p in RESERVATION))
 
 
 def without_pagination(text) -> Column:
@@ -176,11 +202,11 @@ def without_pagination(text) -> Column:
 
 
 def stated_totals(text) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?i)total (?:number of )?questions?\s*[:=-]*\s*(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?i)Total\s+number\s+of\s+questions\s*[-–—:]+\s*(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
 
 
 def is_corrigendum(text) -> Column:
-    return text.rlike(r"(?im)^[ \t]*corrigend(?:um|a)\b")
+    return text.rlike(r"(?im)^\s*CORRIGEND(?:UM|A)")
 
 
 def volume(signal) -> Column:

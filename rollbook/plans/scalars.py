@@ -10,7 +10,7 @@ from rollbook.registry import query, table
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, false AS unreadable FROM orders UNION ALL SELECT -1, NULL, true UNION ALL SELECT -2, NULL, true UNION ALL SELECT -3, NULL, false")
 def j1_bill_dates(spark, sf):
-    formats = ("dd/MM/yyyy", "d-M-yyyy", "dd-MMM-yyyy", "dd MMM yyyy", "yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss")
+    formats = ("dd/MM/yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm")
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("d"))
     spelled = F.element_at(F.array(*(F.date_format("d", f) for f in formats)), (F.pmod("o_orderkey", F.lit(len(formats))) + 1).cast("int"))
     odd = spark.createDataFrame([(-1, "31/02/2020"), (-2, "soon"), (-3, " ")], "o_orderkey long, raw string")
