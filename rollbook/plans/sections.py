@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollbook.functions import text
-from rollbook.operators import pages, segments
+from rollbook.operators import lists, pages, segments
 from rollbook.registry import query, table
 
 
@@ -48,3 +48,54 @@ def n9_similarity(spark, sf):
 
     docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("a"), F.substring("text", 41, 80).alias("b"))
     return docs.select("doc_id", F.round(similarity("a", "b"), 6).alias("ratio"))
+
+
+def _texts(spark, *texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+
+
+@query("SELECT * FROM (VALUES (1, 'Do this.', 'Done.', 0.9), (2, 'Do that.', '', 0.4)) AS v(recommendation_no, recommendation_text, response_text, confidence)")
+def i6_action_taken(spark, sf):
+    text_ = "Recommendation No. 1\nDo this.\nReply of the Government\nDone.\nObservation/Recommendation No. 2\nDo that."
+    return segments.action_taken(_texts(spark, text_, ""), "k", "t").drop("k")
+
+
+@query("SELECT * FROM (VALUES (1, 'First one.', 0.5), (2, 'Second one.', 0.5)) AS v(recommendation_no, recommendation_text, confidence)")
+def i7_observations(spark, sf):
+    text_ = "OBSERVATIONS/RECOMMENDATIONS 5\nOBSERVATIONS / RECOMMENDATIONS\n1. First one.\n2. Second one.\nANNEXURE\n3. no"
+    return segments.observations(_texts(spark, text_), "k", "t").drop("k")
+
+
+@query("SELECT * FROM (VALUES (0, '1147'), (1, NULL), (2, '6723')) AS v(k, printed)")
+def i10_printed_number(spark, sf):
+    return segments.printed_number(_texts(spark, "UNSTARRED QUESTION NO. 1147", "in reply to Starred Question No.3", "QUESTION 31.07.2026 then QUESTION N0.6723"), "k", "t")
+
+
+@query("SELECT * FROM (VALUES ('in_answer_summary', 'IAS', 100, 90, 10, '2023-04-01'), ('in_answer_summary', 'IPS', 200, 150, 50, '2023-04-01')) AS v(layout, service, sanctioned, in_position, vacant, date_of_data)")
+def i17_vacancies(spark, sf):
+    answer = "as on 1.4.2023\nName of Service IAS IPS\nSanctioned strength 100 200\nOfficers in position 90 150"
+    rows = lists.vacancy_rows(spark.createDataFrame([(1, "posts lying vacant", answer), (2, "roads", answer)], "k int, q string, a string"), "k", "q", "a")
+    return rows.select("layout", "service", "sanctioned", "in_position", "vacant", "date_of_data")
+
+
+@query("SELECT * FROM (VALUES (2, 'spend', 'consultancy', 45600000.0), (3, 'headcount', 'consultants', 102.0), (3, 'spend', 'consultants', 200000.0), (4, 'mention', 'young professionals', NULL)) AS v(line_no, signal, term, value)")
+def i21_signals_told(spark, sf):
+    text_ = "A sum of Rs. 4.56 crore was spent\non consultancy.\nIt engaged 102 consultants at Rs. 2 lakh.\nyoung professionals"
+    return segments.outsourcing_signals(_texts(spark, text_), "k", "t").select("line_no", "signal", "term", "value")
+
+
+@query("SELECT * FROM (VALUES ('question_list', '1', 'COAL ROYALTY', 'COAL', '(a) the rates?'), ('question_list', '2', 'ROADS', 'ROADS', '')) AS v(list_type, qno, subject, ministry, body)")
+def i24_question_rows(spark, sf):
+    text_ = "COAL ROYALTY\n*1. Shri A B:\nWill the Minister of COAL be pleased to state:\n(a) the rates?\nROADS\n*2. Dr. E F:\nWill the Minister of ROADS be pleased to state:\n"
+    return lists.question_rows(_texts(spark, text_), "k", "t").select("list_type", "qno", "subject", "ministry", "body")
+
+
+@query("SELECT * FROM (VALUES (0, 'A|B', NULL), (1, '1|2', '/x')) AS v(row_no, cells, href)")
+def m1_tables(spark, sf):
+    html = "<table><tr><th>A</th><th>B</th></tr><tr><td><a href='/x'>1</a></td><td>2</table>"
+    return pages.tables(_texts(spark, html), "k", "t").select("row_no", F.array_join("cells", "|").alias("cells"), F.array_max("hrefs").alias("href"))
+
+
+@query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href=[\"'']([^\"'']+)[\"'']')) FROM pages) GROUP BY 1")
+def m13_link_counts(spark, sf):
+    return pages.links(table(spark, sf, "pages"), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("n"))
