@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -13,9 +16,65 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker expands into numpy arrays at a time.
 SLICE_BYTES = 8 << 20
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 8 << 20
+
+
+_OWNER: list = [None]
+_CACHES: dict = {}
+
+
+def trim():
+    """Give memory that is free back to the system: workers are reused, and several share an
+    executor's memory with the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def claim(owner: str):
+    """What a Python worker remembers belongs to one operator; another one's work drops it."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        _CACHES.clear()
+        trim()
+
+
+def trimmed(rows):
+    """A generator over batches that gives memory back when a task ends."""
+
+    @functools.wraps(rows)
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def remembered(owner: str, key, make):
+    """The operator's own object for a key, made once in a worker."""
+    claim(owner)
+    if key not in _CACHES:
+        _CACHES[key] = make()
+    return _CACHES[key]
+
+
+def bounded_batches(spark: SparkSession):
+    """Batches that go to Python hold BATCH_BYTES at most: ten thousand long documents at once would
+    be held several times over, by the JVM and by Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
