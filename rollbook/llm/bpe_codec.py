@@ -21,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rollbook.llm.common import byte_slices, texts_of
-from rollbook.llm.word_encoder import encoder
+from rollbook.llm.common import byte_slices, remembered, texts_of
+from rollbook.llm.word_encoder import CODER_BYTES, encoder
 
 #: Chunks have 2 ** MASK_BITS bytes on average; the rolling window has WINDOW.
 MASK_BITS, WINDOW = 10, 16
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 16 << 20
 _SPACE = re.compile(rb"[\t\n\v\f\r ]")
 #: A fixed pseudo-random word for each byte value.
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -114,19 +114,14 @@ class BpeCodec:
         return b" ".join(map(self.pieces.__getitem__, ids.tolist()))
 
 
-_CODECS: dict[str, BpeCodec] = {}
-
-
 def codec(path: str) -> BpeCodec:
-    if path not in _CODECS:
-        _CODECS[path] = BpeCodec(path)
-    return _CODECS[path]
+    return remembered("words", ("codec", path), lambda: BpeCodec(path))
 
 
 def _coded(path: str, batch, text_col: str):
     """(ids, decoded UTF-8) of each text of a batch."""
     texts, own = texts_of(batch, text_col), codec(path)
-    for a, b in byte_slices(texts):
+    for a, b in byte_slices(texts, CODER_BYTES):
         for ids in own.encode(texts.slice(a, b - a).cast(pa.large_binary()).to_pylist()):
             yield ids, own.decode(ids)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import byte_slices, ragged, texts_of
+from rollbook.llm.common import byte_slices, claim, ragged, texts_of, trimmed
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -193,7 +193,9 @@ SPANS = "array<struct<first:long,after:long>>"
 
 
 def _scan(phrases: Phrases):
+    @trimmed
     def run(batches):
+        claim("decontaminate")
         for batch in batches:
             texts = texts_of(batch, "text")
             spans = [[(s["first"], s["after"]) for s in x] for x in batch.column("spans").to_pylist()]

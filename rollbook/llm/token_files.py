@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.llm.common import bounded_sample, byte_slices, settle, texts_of
-from rollbook.llm.word_encoder import encoder
+from rollbook.llm.word_encoder import CODER_BYTES, encoder
 
 MAGIC = b"RBTOK1"
 HEAD = struct.Struct("<6sBI32s")
@@ -95,7 +95,7 @@ def _serialized(path: str, end_id: int, batch, text_col: str):
     coder = encoder(path)
     kind = "<u2" if max(coder.library.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
     texts, end = texts_of(batch, text_col), np.array([end_id], kind)
-    for a, b in byte_slices(texts):
+    for a, b in byte_slices(texts, CODER_BYTES):
         for ids in coder.encode(texts.slice(a, b - a)):
             yield np.concatenate((ids.astype(kind), end))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import byte_slices, held_out, settle, texts_of
+from rollbook.llm.common import byte_slices, claim, held_out, settle, texts_of, trimmed
 
 THRESHOLD = 0.7
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TASKS = 8000, 16000, 16
@@ -247,21 +247,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
             yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), pa.array([_family(t.as_py()) for t in texts], pa.int64())], ["text", "toxic", "family"])
 
     def counter(kind):
+        @trimmed
         def count(batches):
-            sums, n, seen, memo = {0: np.zeros(BUCKETS, np.uint16), 1: np.zeros(BUCKETS, np.uint16)}, {0: 0, 1: 0}, {}, {}
+            claim("toxicity")
+            sums, n, memo = {0: np.zeros(BUCKETS, np.uint16), 1: np.zeros(BUCKETS, np.uint16)}, {0: 0, 1: 0}, {}
+            now, seen = None, {}
             for batch in batches:
                 for text, toxic, family in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "family"))):
                     n[toxic] += 1
+                    if family != now:  # rows are in order of the family
+                        now, seen = family, {0: set(), 1: set()}
                     found: set[int] = set()
                     for token in _tokens(text or ""):
                         if token not in memo:
-                            if len(memo) > MEMO_TOKENS:
+                            if len(memo) > MEMO_TOKENS // 6:
                                 memo.clear()
                             memo[token] = [i for w in readings(token, model) if not evidence.p or not evidence.of(w) for i in map(bucket, features(w, kind))]
                         found.update(memo[token])
-                    counted = seen.setdefault((family, toxic), set())
-                    found -= counted
-                    counted |= found
+                    found -= seen[toxic]
+                    seen[toxic] |= found
                     sums[toxic][np.fromiter(found, np.int64, len(found))] += 1
             rows = []
             for toxic, x in sums.items():
@@ -285,10 +289,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
 
         return run
 
-    sample = settle(sample.mapInArrow(families, "text string, toxic int, family long").where("toxic IN (0, 1)").repartition(SAMPLE_TASKS, "family"), "sample")
+    sample = settle(sample.mapInArrow(families, "text string, toxic int, family long").where("toxic IN (0, 1)"), "sample")
     for kind in KINDS:  # a word that is evidence already doesn't count for what is less specific
         sums, n = {0: np.zeros(BUCKETS), 1: np.zeros(BUCKETS)}, {0: 0, 1: 0}
-        tasks = sample.repartition(SAMPLE_TASKS, "family").mapInArrow(counter(kind), "toxic int, n long, at binary, counts binary")
+        tasks = sample.repartition(SAMPLE_TASKS, "family").sortWithinPartitions("family", "toxic").mapInArrow(counter(kind), "toxic int, n long, at binary, counts binary")
         for r in tasks.collect():  # two sparse arrays of a task
             at = np.frombuffer(zlib.decompress(r["at"]), "<u4")
             sums[r.toxic][at] += np.frombuffer(zlib.decompress(r["counts"]), "<u2")
@@ -310,7 +314,9 @@ def scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
     """doc_id, held_out, score, predicted."""
     evidence = learn(docs, labels, id_col, text_col)
 
+    @trimmed
     def run(batches):
+        claim("toxicity")
         own = Scorer(evidence)
         for batch in batches:
             score = [own.score(t.as_py()) for t in texts_of(batch, text_col)]
@@ -324,7 +330,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="te
     """Pipeline stage: documents predicted toxic go; the others stay as they were, in one pass."""
     evidence = learn(docs, labels, id_col, text_col)
 
+    @trimmed
     def run(batches):
+        claim("toxicity")
         own = Scorer(evidence)
         for batch in batches:
             yield batch.filter(pa.array([own.score(t.as_py()) < THRESHOLD for t in texts_of(batch, text_col)], pa.bool_()))

@@ -13,9 +13,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from rollbook.llm.common import ragged
+from rollbook.llm.common import ragged, remembered
 
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
+#: Bytes of text to encode at a time.
+CODER_BYTES = 2 << 20
 JOINED_WORDS = 256
 PROBES = ("ab cd", "it's 10 %!", "éá é\n b", "a\tb\r\nc", "x y z")
 
@@ -106,11 +108,6 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
     """One encoder for each Python worker and file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return remembered("words", ("words", path), lambda: WordEncoder(path))
