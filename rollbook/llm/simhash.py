@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import ragged, settle, texts_of
+from rollbook.llm.common import claim, ragged, settle, texts_of, trimmed
 from rollbook.llm.components import connected_components, union
 
 SEED, BITS, RADIUS = 42, 64, 2
@@ -54,7 +54,9 @@ def fingerprint(text: bytes, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, words: int = 3, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
+    @trimmed
     def run(batches):
+        claim("simhash")
         for batch in batches:
             texts = texts_of(batch, text_col).cast(pa.large_binary())
             out = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, len(texts))
@@ -188,4 +190,4 @@ def keep_one(docs: DataFrame, words: int = 3, id_col="doc_id", text_col="text")
     """Pipeline stage: of each component the document with the least id stays (rows with a null id
     stay), all columns as they were."""
     gone = near_duplicates(docs, words, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("_gone"), "left_anti")
