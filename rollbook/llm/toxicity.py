@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import byte_slices, claim, held_out, settle, texts_of, trimmed
+from rollbook.llm.common import SLICE_BYTES, byte_slices, claim, held_out, settle, texts_of, trimmed
 
 THRESHOLD = 0.7
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TASKS = 8000, 16000, 16
@@ -57,11 +57,13 @@ _SPACED = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]){3,}\S(?!\S)")
 def trigram_counts(docs: DataFrame, text_col="text") -> DataFrame:
     """trigram (its index) and n, over all texts; at most ALPHABET ** 3 rows."""
 
+    @trimmed
     def run(batches):
+        claim("toxicity")
         total = np.zeros(ALPHABET**3, np.int64)
         for batch in batches:
             texts = texts_of(batch, text_col)
-            for a, b in byte_slices(texts):
+            for a, b in byte_slices(texts, SLICE_BYTES // 4):
                 part = texts.slice(a, b - a)
                 raw = np.frombuffer(b"\n\n".join([b"", *(x.as_py() for x in part.cast(pa.large_binary())), b""]), np.uint8)
                 c = _CLASS[raw[(raw & 0xC0) != 0x80]].astype(np.int32)
