@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 from rollbook.llm.common import ragged, remembered
 
-MEMO_WORDS = 500_000
+MEMO_WORDS = 700_000
 #: Bytes of text to encode at a time.
 CODER_BYTES = 2 << 20
 JOINED_WORDS = 256
