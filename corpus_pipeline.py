@@ -24,7 +24,7 @@ def dedup_lines(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    return simhash.keep_one(docs, words=WORDS)
+    return simhash.keep_one_copy(docs, words=WORDS)
 
 
 def decontaminated(spark, docs, sf_dir):

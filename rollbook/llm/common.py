@@ -47,9 +47,9 @@ def trimmed(rows):
     """A generator over batches that gives memory back when a task ends."""
 
     @functools.wraps(rows)
-    def run(batches):
+    def run(batches, *more):
         try:
-            yield from rows(batches)
+            yield from rows(batches, *more)
         finally:
             trim()
 

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.llm import lines
 from rollbook.llm.common import claim, ragged, settle, texts_of, trimmed
 from rollbook.llm.components import connected_components, union
 
@@ -31,13 +32,17 @@ SEED, BITS, RADIUS = 42, 64, 2
 SHARD, LEVELS = 4096, 3
 #: Rows that a task gathers before it builds their trees; visited (query, node) pairs at a time.
 ROWS, VISITS = 1 << 17, 1 << 21
+#: Shingles whose MinHash is taken at a time.
+CELLS = 1 << 12
+_FACTORS = np.random.default_rng(17).integers(0, 1 << 64, lines.ROWS * lines.BANDS, dtype=np.uint64) | np.uint64(1)
+_KEYS = [f"k{i}" for i in range(lines.BANDS)]
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """Unsigned; a bit is 1 if set in over half of the hashes of the word shingles."""
+def shingle_hashes(text: bytes, words: int = 3) -> np.ndarray:
+    """A hash of each word shingle, in order; a shorter text is one shingle."""
     parts = text.lower().split()  # both ASCII only on bytes
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     digest = xxhash.xxh64_intdigest
@@ -46,11 +51,31 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     else:
         starts = [0, *(ends[: -words] + 1).tolist()]
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
-    bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.array(hashes, np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned; a bit is 1 if set in over half of the hashes."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     ones = bits.sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """Unsigned; a bit is 1 if set in over half of the hashes of the word shingles."""
+    return majority(shingle_hashes(text, words))
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """MinHash: the least of the hashes by each factor."""
+    out = np.full(len(_FACTORS), -1, np.int64).view(np.uint64)
+    for at in range(0, len(hashes), CELLS):
+        np.minimum(out, (hashes[at : at + CELLS, None] * _FACTORS).min(0), out=out)
+    return out
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
@@ -186,8 +211,78 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col="doc_id", text_col="
     return own.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, id_col="doc_id", text_col="text") -> DataFrame:
-    """Pipeline stage: of each component the document with the least id stays (rows with a null id
-    stay), all columns as they were."""
-    gone = near_duplicates(docs, words, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
+def _content(text: bytes) -> int:
+    """Signed; equal for texts of the same words."""
+    return _signed(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()), SEED))
+
+
+def _signed_texts(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, fp, h (of its words) and the band keys of its MinHash (null without words)."""
+
+    @trimmed
+    def run(batches):
+        claim("simhash")
+        for batch in batches:
+            texts, fps, contents, sigs = texts_of(batch, text_col).cast(pa.large_binary()), [], [], []
+            for text in texts:
+                hashes = shingle_hashes(text.as_py(), words)
+                fps.append(_signed(majority(hashes)))
+                contents.append(_content(text.as_py()))
+                sigs.append(signature(hashes))
+            keys = lines.band_keys(np.array(sigs, np.uint64).reshape(-1, len(_FACTORS)))
+            blank = np.array([(s == np.uint64((1 << 64) - 1)).all() for s in sigs], bool)
+            columns = [batch.column(id_col).cast(pa.int64()), pa.array(fps, pa.int64()), pa.array(contents, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(keys[:, i], mask=blank) for i in range(lines.BANDS))], ["doc_id", "fp", "h", *_KEYS])
+
+    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, fp long, h long, " + ", ".join(f"{k} long" for k in _KEYS))
+
+
+def near_copies(docs: DataFrame, words: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id and component_id (the least id reachable) of rows with an id. Links are fingerprints
+    within RADIUS bits, and word shingles with a Jaccard similarity of lines.SIMILAR or more:
+    candidates of these come from MinHash bands as in lines, and every one is verified on the texts."""
+    own = settle(_signed_texts(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col), "signatures")
+    classes = settle(own.groupBy("fp", "h").agg(F.min("doc_id").alias("node"), *(F.min(k).alias(k) for k in _KEYS)), "classes")
+    fps = classes.groupBy("fp").agg(F.min("node").alias("node"))
+
+    def texts_of_nodes(nodes):
+        wanted = classes.join(nodes.withColumnRenamed("node", "h"), "h", "left_semi").select(F.col("node").alias("_id"), F.col("h").alias("_h"))
+        found = docs.join(wanted.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("_id")).select(F.col("_h").alias("node"), F.col(text_col).alias("text"))
+
+        def own_words(batches):  # a repeated id may come with another text
+            for batch in batches:
+                texts = texts_of(batch, "text").cast(pa.large_binary())
+                yield batch.filter(pa.array([_content(t.as_py()) == n for t, n in zip(texts, batch.column("node").to_pylist())], pa.bool_()))
+
+        return settle(found.mapInArrow(own_words, "node long, text string").dropDuplicates(["node"]), "texts")
+
+    def sign(texts):
+        return np.array([signature(shingle_hashes(t.encode(), words)) for t in texts], np.uint64)
+
+    def shingled(texts):
+        return [np.unique(shingle_hashes(t.encode(), words)) for t in texts]
+
+    buckets = classes.where("k0 IS NOT NULL").select(F.col("h").alias("node"), F.explode(F.array(*_KEYS)).alias("bucket")).select("bucket", "node")
+    alike = lines.similar_components(buckets, texts_of_nodes, sign, shingled)
+    ids = classes.select("h", "node")
+    alike = alike.join(ids.select(F.col("h").alias("node"), F.col("node").alias("a")), "node").join(ids.select(F.col("h").alias("component"), F.col("node").alias("b")), "component").select("a", "b")
+    same = classes.select("fp", F.col("node").alias("a")).join(fps.select("fp", F.col("node").alias("b")), "fp").where("a != b").select("a", "b")
+    components = connected_components(hamming_links(settle(fps, "fps")).unionByName(alike).unionByName(same))
+    by_class = classes.join(components, "node", "left").select("fp", "h", F.coalesce("component", "node").alias("component_id"))
+    return own.select("doc_id", "fp", "h").join(by_class, ["fp", "h"]).select("doc_id", "component_id")
+
+
+def _without(docs: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
+    gone = components.where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("_gone"), "left_anti")
+
+
+def keep_one(docs: DataFrame, words: int = 3, id_col="doc_id", text_col="text") -> DataFrame:
+    """Of each component the document with the least id stays (rows with a null id stay), all
+    columns as they were."""
+    return _without(docs, near_duplicates(docs, words, id_col, text_col), id_col)
+
+
+def keep_one_copy(docs: DataFrame, words: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
+    """Pipeline stage: `keep_one` by the components of `near_copies`."""
+    return _without(docs, near_copies(docs, words, id_col, text_col), id_col)
