@@ -46,8 +46,10 @@ def i21_signals(spark, sf):
 def n9_similarity(spark, sf):
     from rollbook.operators.segments import similarity
 
-    docs = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("a"), F.substring("text", 41, 80).alias("b"))
-    return docs.select("doc_id", F.round(similarity("a", "b"), 6).alias("ratio"))
+    turns = table(spark, sf, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("a"))
+    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return asked.join(said, ["conv_id", "turn"]).select("conv_id", "turn", F.round(similarity("a", "b"), 6).alias("ratio"))
 
 
 def _texts(spark, *texts):
