@@ -74,25 +74,58 @@ def bounded_batches(spark: SparkSession):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(df: DataFrame, rows, schema) -> DataFrame:
+    """mapInArrow over batches of bounded bytes."""
+    bounded_batches(df.sparkSession)
+    return df.mapInArrow(rows, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share. A session that names none has a temporary one if all of
+    it is one process; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.rollbook.scratch.dir", None)
     if not named:
-        named = spark.conf.get("spark.rollbook.scratch.dir", None) or f"file://{tempfile.mkdtemp(prefix='rollbook-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='rollbook-')}"
         spark.conf.set("spark.rollbook.scratch.dir", named)
     return named
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and reread: cuts the lineage, and a lost executor costs no recomputation."""
+    """Write to the shared folder and reread: cuts the lineage, and a lost executor costs no
+    recomputation. The table goes by `dropped`, or when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    where, system = _file_system(spark, path)
+    system.deleteOnExit(where)
+    return at_path(spark.read.schema(df.schema).parquet(path), path)
+
+
+def at_path(df: DataFrame, path: str | None) -> DataFrame:
+    df._settled_at = path
+    return df
+
+
+def settled_at(df: DataFrame) -> str | None:
+    return getattr(df, "_settled_at", None)
+
+
+def dropped(*tables: DataFrame):
+    """Delete settled tables, once everything that reads them is settled itself."""
+    for df in tables:
+        if path := settled_at(df):
+            where, system = _file_system(df.sparkSession, path)
+            system.delete(where, True)
 
 
 def held_out(doc_id="doc_id"):

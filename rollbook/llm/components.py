@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import settle
+from rollbook.llm.common import at_path, dropped, settle, settled_at
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,9 +33,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before or not state[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = tuple(state)
-        edges = settle(_small_star(_large_star(edges)), "edges")
+            return at_path(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), settled_at(edges))
+        before, old = tuple(state), edges
+        edges = settle(_small_star(_large_star(old)), "edges")
+        dropped(old)
 
 
 def union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

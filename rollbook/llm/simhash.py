@@ -18,6 +18,8 @@ share or neighbour it (null if there are none); other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,47 +27,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm import lines
-from rollbook.llm.common import claim, ragged, settle, texts_of, trimmed
+from rollbook.llm.common import claim, dropped, mapped, ragged, settle, texts_of, trimmed
 from rollbook.llm.components import connected_components, union
 
 SEED, BITS, RADIUS = 42, 64, 2
 SHARD, LEVELS = 4096, 3
 #: Rows that a task gathers before it builds their trees; visited (query, node) pairs at a time.
 ROWS, VISITS = 1 << 17, 1 << 21
-#: Shingles whose MinHash is taken at a time.
-CELLS = 1 << 12
+#: Shingles whose MinHash is taken at a time; bytes of a text that are taken at a time.
+CELLS, PIECE = 1 << 12, 1 << 20
+#: Characters of documents that one task compares with each other.
+CHARS = 16 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _FACTORS = np.random.default_rng(17).integers(0, 1 << 64, lines.ROWS * lines.BANDS, dtype=np.uint64) | np.uint64(1)
 _KEYS = [f"k{i}" for i in range(lines.BANDS)]
 
 
+def _words(text: bytes):
+    """Lists of the words of a text in lower case, a piece of it at a time."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + PIECE)
+        stop = cut.start() if cut else len(text)
+        yield text[at:stop].lower().split()  # both ASCII only on bytes
+        at = stop
+
+
+def shingle_blocks(text: bytes, words: int = 3):
+    """Arrays of the hashes of the word shingles, in order; a shorter text is one shingle."""
+    digest, held, some = xxhash.xxh64_intdigest, [], False
+    for own in _words(text):
+        held += own
+        if len(held) >= words:
+            joined = b" ".join(held)
+            ends = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1) - 1
+            starts = [0, *(ends[:-words] + 1).tolist()]
+            yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())], np.uint64)
+            held, some = held[len(held) - words + 1 :], True
+    if held and not some:
+        yield np.array([digest(b" ".join(held), SEED)], np.uint64)
+
+
 def shingle_hashes(text: bytes, words: int = 3) -> np.ndarray:
-    """A hash of each word shingle, in order; a shorter text is one shingle."""
-    parts = text.lower().split()  # both ASCII only on bytes
-    if not parts:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(parts)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    digest = xxhash.xxh64_intdigest
-    if len(parts) < words:
-        hashes = [digest(joined, SEED)]
-    else:
-        starts = [0, *(ends[: -words] + 1).tolist()]
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist())]
-    return np.array(hashes, np.uint64)
-
-
-def majority(hashes: np.ndarray) -> int:
-    """Unsigned; a bit is 1 if set in over half of the hashes."""
-    if not len(hashes):
-        return 0
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return np.concatenate([np.zeros(0, np.uint64), *shingle_blocks(text, words)])
+
+
+def majority(blocks) -> int:
+    """Unsigned; a bit is 1 if set in over half of all hashes of the blocks."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in blocks:
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
 def fingerprint(text: bytes, words: int = 3) -> int:
     """Unsigned; a bit is 1 if set in over half of the hashes of the word shingles."""
-    return majority(shingle_hashes(text, words))
+    return majority(shingle_blocks(text, words))
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -87,7 +105,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col="doc_id", text_col="tex
             out = np.fromiter((fingerprint(t.as_py(), words) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(out.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return mapped(docs.select(id_col, text_col), run, "doc_id long, fp long")
 
 
 def bk_forest(fp: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +212,7 @@ def hamming_links(fps: DataFrame) -> DataFrame:
             counts = settle(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("shard"), "shards")
             large = None if counts.isEmpty() else counts
         here = rows if large is None else rows.join(large, "shard", "left_anti")
-        found = here.select("shard", "fp", "node").repartition("shard").sortWithinPartitions("shard", "node").mapInArrow(_shard_links, "a long, b long")
+        found = mapped(here.select("shard", "fp", "node").repartition("shard").sortWithinPartitions("shard", "node"), _shard_links, "a long, b long")
         out = found if out is None else out.unionByName(found)
         if large is None:
             break
@@ -213,76 +231,78 @@ def near_duplicates(docs: DataFrame, words: int = 3, id_col="doc_id", text_col="
 
 def _content(text: bytes) -> int:
     """Signed; equal for texts of the same words."""
-    return _signed(xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()), SEED))
+    h = xxhash.xxh3_64(seed=SEED)
+    for words in _words(text):
+        if words:
+            h.update(b" ".join(words) + b" ")
+    return _signed(h.intdigest())
 
 
-def _signed_texts(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, fp, h (of its words) and the band keys of its MinHash (null without words)."""
+def _signed_texts(docs: DataFrame, words: int) -> DataFrame:
+    """docs: doc_id, t, text -> doc_id, t, fp, h (of its words) and the band keys of its MinHash
+    (null without words)."""
 
     @trimmed
     def run(batches):
         claim("simhash")
         for batch in batches:
-            texts, fps, contents, sigs = texts_of(batch, text_col).cast(pa.large_binary()), [], [], []
-            for text in texts:
-                hashes = shingle_hashes(text.as_py(), words)
-                fps.append(_signed(majority(hashes)))
-                contents.append(_content(text.as_py()))
+            fps, contents, sigs = [], [], []
+            for text in texts_of(batch, "text").cast(pa.large_binary()):
+                text = text.as_py()
+                hashes = shingle_hashes(text, words)
+                fps.append(_signed(majority(hashes[a : a + PIECE] for a in range(0, len(hashes), PIECE))))
+                contents.append(_content(text))
                 sigs.append(signature(hashes))
             keys = lines.band_keys(np.array(sigs, np.uint64).reshape(-1, len(_FACTORS)))
             blank = np.array([(s == np.uint64((1 << 64) - 1)).all() for s in sigs], bool)
-            columns = [batch.column(id_col).cast(pa.int64()), pa.array(fps, pa.int64()), pa.array(contents, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(keys[:, i], mask=blank) for i in range(lines.BANDS))], ["doc_id", "fp", "h", *_KEYS])
+            columns = [batch.column("doc_id"), batch.column("t"), pa.array(fps, pa.int64()), pa.array(contents, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(keys[:, i], mask=blank) for i in range(lines.BANDS))], ["doc_id", "t", "fp", "h", *_KEYS])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, fp long, h long, " + ", ".join(f"{k} long" for k in _KEYS))
+    return mapped(docs, run, "doc_id long, t long, fp long, h long, " + ", ".join(f"{k} long" for k in _KEYS))
 
 
-def near_copies(docs: DataFrame, words: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id and component_id (the least id reachable) of rows with an id. Links are fingerprints
-    within RADIUS bits, and word shingles with a Jaccard similarity of lines.SIMILAR or more:
-    candidates of these come from MinHash bands as in lines, and every one is verified on the texts."""
-    own = settle(_signed_texts(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col), "signatures")
-    classes = settle(own.groupBy("fp", "h").agg(F.min("doc_id").alias("node"), *(F.min(k).alias(k) for k in _KEYS)), "classes")
-    fps = classes.groupBy("fp").agg(F.min("node").alias("node"))
+def _near_copies(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t (a hash of the text) and component_id of rows with an id."""
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    own = settle(_signed_texts(docs, words), "signatures")
+    classes = own.groupBy("fp", "h").agg(F.min("doc_id").alias("doc_id"), F.min_by("t", "doc_id").alias("t"), *(F.min(k).alias(k) for k in _KEYS))
+    # written once, so that the ids stay
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     def texts_of_nodes(nodes):
-        wanted = classes.join(nodes.withColumnRenamed("node", "h"), "h", "left_semi").select(F.col("node").alias("_id"), F.col("h").alias("_h"))
-        found = docs.join(wanted.hint("shuffle_hash"), docs[id_col].cast("long") == F.col("_id")).select(F.col("_h").alias("node"), F.col(text_col).alias("text"))
-
-        def own_words(batches):  # a repeated id may come with another text
-            for batch in batches:
-                texts = texts_of(batch, "text").cast(pa.large_binary())
-                yield batch.filter(pa.array([_content(t.as_py()) == n for t, n in zip(texts, batch.column("node").to_pylist())], pa.bool_()))
-
-        return settle(found.mapInArrow(own_words, "node long, text string").dropDuplicates(["node"]), "texts")
-
-    def sign(texts):
-        return np.array([signature(shingle_hashes(t.encode(), words)) for t in texts], np.uint64)
+        found = docs.join(classes.join(nodes, "node", "left_semi").select("doc_id", "t", "node"), ["doc_id", "t"])
+        return settle(found.select("node", "text", F.length("text").alias("size")).dropDuplicates(["node"]), "texts")
 
     def shingled(texts):
         return [np.unique(shingle_hashes(t.encode(), words)) for t in texts]
 
-    buckets = classes.where("k0 IS NOT NULL").select(F.col("h").alias("node"), F.explode(F.array(*_KEYS)).alias("bucket")).select("bucket", "node")
-    alike = lines.similar_components(buckets, texts_of_nodes, sign, shingled)
-    ids = classes.select("h", "node")
-    alike = alike.join(ids.select(F.col("h").alias("node"), F.col("node").alias("a")), "node").join(ids.select(F.col("h").alias("component"), F.col("node").alias("b")), "component").select("a", "b")
+    buckets = classes.where("k0 IS NOT NULL").select("node", F.explode(F.array(*_KEYS)).alias("bucket")).select("bucket", "node")
+    alike = lines.similar_components(buckets, texts_of_nodes, shingled, CHARS)
+    fps = settle(classes.groupBy("fp").agg(F.min("node").alias("node")), "fps")
     same = classes.select("fp", F.col("node").alias("a")).join(fps.select("fp", F.col("node").alias("b")), "fp").where("a != b").select("a", "b")
-    components = connected_components(hamming_links(settle(fps, "fps")).unionByName(alike).unionByName(same))
-    by_class = classes.join(components, "node", "left").select("fp", "h", F.coalesce("component", "node").alias("component_id"))
-    return own.select("doc_id", "fp", "h").join(by_class, ["fp", "h"]).select("doc_id", "component_id")
+    components = connected_components(hamming_links(fps).unionByName(alike.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(same))
+    labels = settle(classes.join(components, "node", "left").select("fp", "h", "doc_id", F.coalesce("component", "node").alias("label")), "labels")
+    dropped(classes, alike, fps, components)
+    least = labels.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return own.select("doc_id", "t", "fp", "h").join(labels.join(least, "label").select("fp", "h", "component_id"), ["fp", "h"]).select("doc_id", "t", "component_id")
 
 
-def _without(docs: DataFrame, components: DataFrame, id_col: str) -> DataFrame:
-    gone = components.where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col] == F.col("_gone"), "left_anti")
+def near_copies(docs: DataFrame, words: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id and component_id (the least id reachable) of rows with an id. Links are fingerprints
+    within RADIUS bits, and word shingles with a Jaccard similarity of lines.SIMILAR or more:
+    candidates of these come from MinHash bands as in lines, and every one is verified on the texts."""
+    return _near_copies(docs, words, id_col, text_col).drop("t")
 
 
 def keep_one(docs: DataFrame, words: int = 3, id_col="doc_id", text_col="text") -> DataFrame:
     """Of each component the document with the least id stays (rows with a null id stay), all
     columns as they were."""
-    return _without(docs, near_duplicates(docs, words, id_col, text_col), id_col)
+    gone = near_duplicates(docs, words, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
 
 
 def keep_one_copy(docs: DataFrame, words: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
-    """Pipeline stage: `keep_one` by the components of `near_copies`."""
-    return _without(docs, near_copies(docs, words, id_col, text_col), id_col)
+    """Pipeline stage: `keep_one` by the components of `near_copies`; texts that share an id are
+    documents of their own."""
+    gone = _near_copies(docs, words, id_col, text_col).where("doc_id != component_id").select(F.col("doc_id").alias("_gone"), F.col("t").alias("_t"))
+    return docs.join(gone, (docs[id_col].cast("long") == F.col("_gone")) & (F.xxhash64(docs[text_col]) == F.col("_t")), "left_anti")
