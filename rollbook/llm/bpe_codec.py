@@ -4,9 +4,11 @@ A rolling hash over a window of bytes cuts texts into chunks wherever its low bi
 passages that documents share give the same chunks; a chunk is encoded once and its ids reused
 (within a Python worker, up to MEMO_BYTES of chunks; then the memory starts anew). A cut may fall
 inside a word. Each join is repaired by re-encoding the span from the last white space of the left
-chunk to the first of the right one, extended over further chunks while one holds no white space:
-at white space the ids of both sides agree exactly with those of the whole text, which
-`WordEncoder` checks for the tokenizer at hand.
+chunk to the first of the right one, extended over further chunks while one holds no white space.
+With it a word of either chunk is encoded again; a join stands if the library gives these words the
+ids that their chunks have. While it does not, the span grows to twice as many words, at last to
+all of both chunks (if they disagree even then, the tokenizer is refused). Chunks are not shared between workers: their texts and ids would
+have to be shuffled.
 
 Defined cases: a null text counts as empty (no ids, empty decoding); repeated rows repeat; other
 columns are left out.
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from rollbook.llm.common import byte_slices, remembered, texts_of
+from rollbook.llm.common import byte_slices, mapped, remembered, texts_of
 from rollbook.llm.word_encoder import CODER_BYTES, encoder
 
 #: Chunks have 2 ** MASK_BITS bytes on average; the rolling window has WINDOW.
@@ -46,6 +48,17 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return at[(data[at] & 0xC0) != 0x80]
 
 
+def _last_words(text: bytes, k: int) -> bytes:
+    """The last k words; all of the text if it has no more."""
+    words = text.rsplit(None, k)
+    return b" ".join(words[-k:]) if len(words) > k else text
+
+
+def _first_words(text: bytes, k: int) -> bytes:
+    words = text.split(None, k)
+    return b" ".join(words[:k]) if len(words) > k else text
+
+
 class BpeCodec:
     def __init__(self, path: str):
         self.words = encoder(path)
@@ -59,7 +72,8 @@ class BpeCodec:
         self.memo_bytes = 0
 
     def _learn(self, chunks: list[bytes]):
-        """Encode new chunks: text before the first white space, ids between, text after the last."""
+        """Encode new chunks: text before the first white space, ids and text between, text after
+        the last."""
         if self.memo_bytes > MEMO_BYTES:
             self.memo, self.memo_bytes = {}, 0
         chunks = [c for c in dict.fromkeys(chunks) if c not in self.memo]
@@ -67,14 +81,40 @@ class BpeCodec:
         for c in chunks:
             first = _SPACE.search(c)
             if first is None:
-                self.memo[c] = (c, None, b"")
+                self.memo[c] = (c, None, b"", b"")
                 continue
             last = max(c.rfind(s) for s in (b" ", b"\n", b"\t", b"\r", b"\v", b"\f"))
             inner.append(c[first.start() : last])
             ends.append((c, c[: first.start()], c[last + 1 :]))
         for (c, head, tail), ids in zip(ends, self.words.encode(pa.array(inner, pa.large_binary()).cast(pa.large_string()))):
-            self.memo[c] = (head, ids.copy(), tail)
-        self.memo_bytes += sum(map(len, chunks)) * 3
+            self.memo[c] = (head, ids.copy(), tail, c[len(head) : len(c) - len(tail)])
+        self.memo_bytes += sum(map(len, chunks)) * 4
+
+    def _own(self, spans: list[bytes]) -> list[np.ndarray]:
+        """The library's ids of spans, without memory."""
+        return [np.array(x, np.uint32) for x in self.words._library([s.decode() for s in spans])]
+
+    def _joined(self, left: list, word: list[bytes], right: list) -> list[np.ndarray]:
+        """left and right: (ids, text) of the chunks beside each join (empty at an end of the text);
+        word: what stands between. The ids of the joins, in agreement with those of the chunks."""
+        out: list = [None] * len(word)
+        open_, k = list(range(len(word))), 1
+        while open_:
+            before = [_last_words(left[i][1], k) for i in open_]
+            after = [_first_words(right[i][1], k) for i in open_]
+            sizes = [len(x) for x in self.words.encode(pa.array([*before, *after], pa.large_binary()).cast(pa.large_string()))]
+            again = []
+            for at, (i, ids) in enumerate(zip(open_, self._own([b"%b %b %b" % x for x in zip(before, (word[j] for j in open_), after)]))):
+                a, b = sizes[at], sizes[len(open_) + at]
+                same = np.array_equal(ids[:a], left[i][0][len(left[i][0]) - a :]) and np.array_equal(ids[len(ids) - b :], right[i][0][:b])
+                if same and a + b <= len(ids):
+                    out[i] = ids[a : len(ids) - b]
+                elif before[at] != left[i][1] or after[at] != right[i][1]:
+                    again.append(i)
+                else:
+                    raise ValueError("this tokenizer's ids depend on more than the chunks beside a join")
+            open_, k = again, 2 * k
+        return out
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -87,28 +127,31 @@ class BpeCodec:
             plans.append(plan)
             new += plan
         self._learn(new)
-        # the joins: word fragments that end one chunk and begin the next
-        joints: list[bytes] = []
-        runs: list[list] = []
+        # the joins: word fragments that end one chunk and begin the next, between what is encoded
+        nothing = (np.zeros(0, np.uint32), b"")
+        joints, left, right, runs = [], [], [], []
         for plan in plans:
-            run, open_word = [], b""
+            run, open_word, last = [], b"", nothing
             for chunk in plan:
-                head, ids, tail = self.memo[chunk]
+                head, ids, tail, inner = self.memo[chunk]
                 open_word += head
                 if ids is None:
                     continue
                 if open_word:
                     run.append(len(joints))
                     joints.append(open_word)
+                    left.append(last)
+                    right.append((ids, inner))
                 run.append(ids)
-                open_word = tail
+                open_word, last = tail, (ids, inner)
             if open_word:
                 run.append(len(joints))
                 joints.append(open_word)
+                left.append(last)
+                right.append(nothing)
             runs.append(run)
-        mended = self.words.encode(pa.array(joints, pa.large_binary()).cast(pa.large_string()))
-        none = np.zeros(0, np.uint32)
-        return [np.concatenate([none, *(mended[x] if isinstance(x, int) else x for x in run)]) for run in runs]
+        mended = self._joined(left, joints, right)
+        return [np.concatenate([nothing[0], *(mended[x] if isinstance(x, int) else x for x in run)]) for run in runs]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b" ".join(map(self.pieces.__getitem__, ids.tolist()))
@@ -137,7 +180,7 @@ def encode_documents(docs: DataFrame, path: str, id_col="doc_id", text_col="text
                 ["doc_id", "ids", "decoded"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return mapped(docs.select(id_col, text_col), run, "doc_id long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str, id_col="doc_id", text_col="text", with_ids: bool = False) -> DataFrame:
@@ -160,4 +203,4 @@ def digests(docs: DataFrame, path: str, id_col="doc_id", text_col="text", with_i
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return mapped(docs.select(id_col, text_col), run, schema)

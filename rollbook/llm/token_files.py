@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import bounded_sample, byte_slices, settle, texts_of
+from rollbook.llm.common import bounded_sample, byte_slices, dropped, mapped, settle, texts_of
 from rollbook.llm.word_encoder import CODER_BYTES, encoder
 
 MAGIC = b"RBTOK1"
@@ -109,7 +109,7 @@ def shared_dictionary(docs: DataFrame, path: str, end_id: int, id_col="doc_id",
             out = [x[: SAMPLE_BYTES // 2].tobytes() for x in _serialized(path, end_id, batch, text_col)]
             yield pa.RecordBatch.from_pydict({"s": pa.array(out, pa.binary())})
 
-    rows = docs.where(F.col(id_col).isin(ids)).select(text_col).mapInArrow(samples, "s binary").limit(SAMPLE_DOCUMENTS).collect()
+    rows = mapped(docs.where(F.col(id_col).isin(ids)).select(text_col), samples, "s binary").limit(SAMPLE_DOCUMENTS).collect()
     return train_dictionary([bytes(r.s) for r in rows])
 
 
@@ -151,10 +151,12 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 1, id_col="doc_i
         if held[0]:
             yield close()
 
-    frames = settle(docs.select(id_col, text_col).mapInArrow(encode, "id long, n long, frame binary"), "frames")
+    frames = settle(mapped(docs.select(id_col, text_col), encode, "id long, n long, frame binary"), "frames")
     ordered = frames.repartitionByRange("id").sortWithinPartitions("id")
-    packed = ordered.mapInArrow(container, "part int, seq int, part_start long, n_docs long, n_tokens long, blob binary")
-    return settle(packed, "containers"), dictionary
+    packed = mapped(ordered, container, "part int, seq int, part_start long, n_docs long, n_tokens long, blob binary")
+    containers = settle(packed, "containers")
+    dropped(frames)
+    return containers, dictionary
 
 
 def read_token_files(containers: DataFrame, dictionary: bytes) -> DataFrame:
@@ -176,7 +178,7 @@ def read_token_files(containers: DataFrame, dictionary: bytes) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(placed, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:

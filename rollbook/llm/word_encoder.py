@@ -3,11 +3,15 @@
 A tokenizer whose pre-tokenizer drops white space gives a text the concatenated ids of its
 words, so each distinct word needs one encoding by the tokenizers library. Words are remembered
 within a Python worker up to a fixed number; beyond it the memory starts anew.
+
+Added tokens are matched by the library in the raw text, upper and lower case apart: a word that
+holds one, however it is spelled, goes to the library as it stands.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +39,15 @@ class WordEncoder:
         alike = lambda a, b: self.library.encode(a, add_special_tokens=False).ids == self.library.encode(b, add_special_tokens=False).ids
         self.punctuation_apart = alike("word., x,y z.", "word ., x ,y z .")
         self.folds_case = alike("ABCDEFGHIJKLMNOPQRSTUVWXYZ It'S", "abcdefghijklmnopqrstuvwxyz it's")
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if any(c in " \t\n\v\f\r" for t in added for c in t):
+            raise ValueError("this tokenizer has an added token with white space")
+        #: Matches added tokens without regard to case, in the syntax that Arrow takes too.
+        self.added = "(?i)" + "|".join(re.escape(t) for t in added) if added else None
+        if any(re.search("[A-Za-z][.,]", t) for t in added):
+            self.punctuation_apart = False
         self._forget()
-        for probe in PROBES:
+        for probe in (*PROBES, *(f"a{x}b {x}. {x}" for t in added for x in (t, t.upper(), t.title()))):
             if self.library.encode(probe, add_special_tokens=False).ids != self.encode(pa.array([probe]))[0].tolist():
                 raise ValueError("this tokenizer does not separate words at white space")
 
@@ -90,7 +101,10 @@ class WordEncoder:
         coded = split.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         words = coded.dictionary.to_pylist()
         if self.folds_case:
-            words = [w.lower() if w.isascii() else w for w in words]
+            raw = set()
+            if self.added is not None:
+                raw = set(np.flatnonzero(pc.match_substring_regex(coded.dictionary, self.added).to_numpy(zero_copy_only=False)).tolist())
+            words = [w.lower() if w.isascii() and i not in raw else w for i, w in enumerate(words)] if raw else [w.lower() if w.isascii() else w for w in words]
         if len(self.memo) + len(words) > MEMO_WORDS:
             self._forget()
         memo = self.memo

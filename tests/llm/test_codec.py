@@ -1,14 +1,17 @@
 """Operators 1 and 2 against the tokenizers library."""
 
+import functools
 import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rollbook.llm import bpe_codec, token_files
+from rollbook.llm import bpe_codec, token_files, word_encoder
 from rollbook.llm.queries import tokenizer_path
 
 
@@ -73,6 +76,45 @@ def test_joins_are_repaired(library, bits, monkeypatch):
         assert own.decode(ids).decode() == library.decode(ids.tolist(), skip_special_tokens=False)
 
 
+ADDED = ["<|endoftext|>", "<|startoftext|>"]
+SPELLED = [f(t) for t in ADDED for f in (str, str.upper, str.title, lambda t: t.replace("end", "End"), lambda t: t[:7] + " " + t[7:], lambda t: t[:-1])]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*SPELLED, " ", "\n", ".", ",", "a", "Ab.", "<|", "|>", "é", "İ", "0", "'s", "\u0301", "\u00a0"]), max_size=12).map("".join))
+def test_added_tokens_in_any_case(text):
+    library, words, own = _coders()
+    want = library.encode(text, add_special_tokens=False).ids
+    assert words.encode(pa.array([text]))[0].tolist() == want
+    ids = own.encode([text.encode()])[0]
+    assert ids.tolist() == want
+    assert own.decode(ids).decode() == library.decode(want, skip_special_tokens=False)
+
+
+@functools.cache
+def _coders():
+    return Tokenizer.from_file(tokenizer_path()), word_encoder.WordEncoder(tokenizer_path()), bpe_codec.BpeCodec(tokenizer_path())
+
+
+@pytest.mark.parametrize("token", SPELLED)
+def test_added_tokens_alone_and_glued(token):
+    library, words, own = _coders()
+    for text in (token, f"x {token} y", f"A.{token}b", f"{token}{token.upper()}", f"ab{token}, {token}."):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert words.encode(pa.array([text]))[0].tolist() == want and own.encode([text.encode()])[0].tolist() == want
+
+
+def test_joins_are_checked(library, monkeypatch):
+    """A chunk whose ids were wrong beside a join does not go through."""
+    monkeypatch.setattr(bpe_codec, "MASK_BITS", 4)
+    own = bpe_codec.BpeCodec(tokenizer_path())
+    text = b"the quick brown fox jumps over the lazy dog and runs away from it all " * 3
+    own.encode([text])
+    own.memo = {c: (h, i if i is None else i + 1, t, x) for c, (h, i, t, x) in own.memo.items()}
+    with pytest.raises(ValueError):
+        own.encode([text])
+
+
 def test_shared_passages_are_shared_chunks():
     rng = np.random.default_rng(1)
     shared = rng.integers(97, 122, 40_000).astype(np.uint8)
