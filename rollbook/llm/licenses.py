@@ -1,75 +1,167 @@
 """Operator 10 [native]: licence scans by sparse TF-IDF cosine, then nearest-ancestor inheritance.
 
-DataFrame functions only. Every line of every file is taken; a header is a line that holds an
-anchor word and whose TF-IDF vector has a cosine of HEADER or more with a template's. A licence
-file is one whose whole text has a cosine of WHOLE or more. A file without a header takes the
-licence of the nearest directory above it, its own first, that has a licence file.
-
-Word weights are ln(1 + N / df) over all N lines of all files for the words of the templates; all
-other words weigh ln(1 + N). Only lines and files with an anchor word are expanded to words; the
-templates and their vocabulary are fixed and small, so they are broadcast.
+DataFrame functions only. Templates are NOTICES (what headers say) and the whole texts of licences
+(folder license_texts). A header is a line, or a paragraph (lines up to a blank one, comment signs
+aside), with a cosine of HEADER or more with a notice. A licence file is one whose whole text has a
+cosine of WHOLE or more with a licence's text, hence holds half of its weight at least, or one that
+says nothing but a notice (SOLE). A notice counts only where all its MARKS occur: names and versions,
+without which cosines of different licences are too close. A file without a header takes its own
+licence text's, then that of the nearest directory above it, its own first, that has a licence file.
+
+A word's weight is (1 + ln n) ln(1 + N / df), n its count in the unit, over all N texts; words that
+no template has weigh (1 + ln n) ln(1 + N). Two bounds, both by Cauchy and Schwarz, save expanding
+every text to words and lose nothing. What a template weighs without its heaviest words is below
+HEADER, so that a unit without any of these cannot reach it. And a text that reaches WHOLE holds so
+many of a licence's heavier words at least. Templates are fixed and small, so they are broadcast.
 
 Among several licence files of a directory the one with the largest cosine counts, then the least
 path; among templates of equal cosine the least name. Defined cases: a null text has no header, a
-null path no directory and inherits nothing; empty texts inherit; repeated rows repeat with equal
-results; an empty table gives an empty result; other columns are ignored.
+null path no directory and inherits nothing; empty texts inherit; very long texts are one file like
+any other; repeated rows repeat with equal results; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.common import settle
 
-HEADER, WHOLE = 0.6, 0.5
-#: What headers and licence files say.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-2-Clause": "Licensed under the BSD 2-Clause Simplified License.",
-    "BSD-3-Clause": "Licensed under the BSD 3-Clause License.",
-    "CC-BY-4.0": "Licensed under the Creative Commons Attribution License CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "Subject to the terms of the Mozilla Public License, version 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
-ANCHORS = ("license", "licensed", "licence", "licenced", "released", "dedicated", "unencumbered")
-#: What separates words: all but ASCII letters, digits and other letters.
+HEADER, WHOLE, SOLE = 0.6, 0.7, 0.99
+GNU = "is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+#: Licence, what its headers say, and the marks that must be among the words.
+NOTICES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0', "apache 2"),
+    ("Apache-2.0", "Apache License Version 2.0", "apache 2"),
+    ("Apache-2.0 OR MIT", "Dual MIT/Apache-2.0", "mit apache 2"),
+    ("Apache-2.0 OR MIT", "Dual licensed under the MIT license or the Apache License, Version 2.0", "mit apache 2"),
+    ("Apache-2.0 OR MIT", "SPDX-License-Identifier: MIT OR Apache-2.0", "mit apache 2"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause Simplified License.", "bsd 2"),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", "bsd 3"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "bsd style governed"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", "boost 1"),
+    ("CC-BY-4.0", "Licensed under the Creative Commons Attribution License CC BY 4.0.", "by 4"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by nc 4"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "cc by sa 4"),
+    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal.", "cc0"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general public 2"),
+    ("GPL-2.0", "GNU General Public License, version 2", "gnu general public 2"),
+    ("GPL-2.0", "This program " + GNU.format("General Public", 2), "gnu general public 2"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public 3"),
+    ("GPL-3.0", "GNU General Public License, version 3", "gnu general public 3"),
+    ("GPL-3.0", "This program " + GNU.format("General Public", 3), "gnu general public 3"),
+    ("ISC", "Licensed under the ISC License.", "isc"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1", "lesser 2 1"),
+    ("LGPL-2.1", "This library " + GNU.format("Lesser General Public", 2.1), "lesser 2 1"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", "lesser 3"),
+    ("LGPL-3.0", "This library " + GNU.format("Lesser General Public", 3), "lesser 3"),
+    ("MIT", "Released under the MIT License.", "mit"),
+    ("MIT", "Licensed under the MIT License.", "mit"),
+    ("MIT", "The MIT License (MIT)", "mit license"),
+    (
+        "MIT",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,'
+        " publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "permission granted deal merge sublicense",
+    ),
+    ("MPL-2.0", "Subject to the terms of the Mozilla Public License, version 2.0.", "mozilla 2"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mozilla 2"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
+    ("Zlib", "Licensed under the zlib License.", "zlib"),
+]
+#: The short names that identifiers and plain statements use.
+NAMES = "Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0 MIT MPL-2.0 Unlicense Zlib".split()
+for _name in NAMES:
+    NOTICES += [(_name, form.format(_name), " ".join([mark, *re.findall("[0-9a-z]+", _name.lower())]).strip()) for form, mark in (("SPDX-License-Identifier: {}", "spdx"), ("License: {}", "license"), ("{}", ""))]
+    if "GPL" in _name:
+        NOTICES += [(_name, f"SPDX-License-Identifier: {_name}-{more}", " ".join(["spdx", *re.findall("[0-9a-z]+", _name.lower())])) for more in ("only", "or-later")]
+#: What separates words: all but ASCII letters, digits and other letters; and what paragraphs.
 BREAK = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
+PARAGRAPH = r"\n[ \t\r/*#;%!-]*\n"
+LINE = r"\r\n|\r|\n"
 SALTS = 16
 
 
-def _words(text):
-    return F.filter(F.split(F.lower(text), BREAK), lambda w: w != "")
-
+@functools.cache
+def templates() -> list[tuple[str, bool, dict[str, int], frozenset[str]]]:
+    """(licence, whether it is a whole text, word -> count, marks)."""
+    words = lambda text: re.findall("[0-9a-z]+", text.lower())
+    texts = [(p.stem, True, p.read_text(), "") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    out = []
+    for name, whole, text, marks in [*((n, False, t, m) for n, t, m in NOTICES), *texts]:
+        own = words(text)
+        out.append((name, whole, {w: own.count(w) for w in set(own)}, frozenset(marks.split())))
+    return out
 
-def template_words() -> list[tuple[str, str, int]]:
-    """(template, word, count)."""
-    import re
 
-    out: dict[tuple[str, str], int] = {}
-    for name, text in TEMPLATES.items():
-        for word in re.findall(r"[0-9a-z]+", text.lower()):
-            out[name, word] = out.get((name, word), 0) + 1
-    return sorted((name, word, n) for (name, word), n in out.items())
+def _words(text):
+    return F.filter(F.split(F.lower(text), BREAK), lambda w: w != "")
 
 
-def _cosines(units: DataFrame, key: list[str], idf: DataFrame, templates: DataFrame, other) -> DataFrame:
-    """units: key and words. The best template of each unit: key, license, score."""
+def _weights(words: dict[str, int], idf: dict[str, float]) -> dict[str, float]:
+    """A template's unit vector, the heaviest words first."""
+    raw = {w: (1 + math.log(n)) * idf[w] for w, n in words.items()}
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    return dict(sorted(((w, x / norm) for w, x in raw.items()), key=lambda x: (-x[1], x[0])))
+
+
+def leading(vectors: list[dict[str, float]], cosine: float) -> set[str]:
+    """Words without any of which no unit reaches the cosine with a vector: of each vector the
+    heaviest, until the rest weighs less than that."""
+    out = set()
+    for vector in vectors:
+        rest = 1.0
+        for word, x in vector.items():
+            if rest < (cosine - 1e-6) ** 2:
+                break
+            out.add(word)
+            rest -= x * x
+    return out
+
+
+def required(vectors: list[dict[str, float]], cosine: float, share: float = 0.8) -> tuple[set[str], int]:
+    """(words, n): whatever reaches the cosine with a vector holds n of the words at least. They
+    are the heaviest of each vector, up to a share of its weight."""
+    words, least = set(), None
+    for vector in vectors:
+        heavy, total = [], 0.0
+        for word, x in vector.items():
+            if total >= share:
+                break
+            heavy.append(word)
+            total += x * x
+        words.update(heavy)
+        # the words reached must weigh cosine ** 2, of which the others give 1 - total at most
+        need, n = (cosine - 1e-6) ** 2 - (1 - total), 0
+        for word in heavy:
+            if need <= 0:
+                break
+            need -= vector[word] ** 2
+            n += 1
+        least = n if least is None else min(least, n)
+    return words, least or 0
+
+
+def _cosines(units: DataFrame, key: list[str], idf: DataFrame, vectors: DataFrame, other: float) -> DataFrame:
+    """units: key and words. key, license, whole, score for each template whose marks all occur."""
     counts = units.select(*key, F.explode("words").alias("word")).groupBy(*key, "word").agg(F.count("*").alias("tf"))
-    weighed = counts.join(F.broadcast(idf), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    weighed = counts.join(F.broadcast(idf), "word", "left").withColumn("w", (1 + F.log("tf")) * F.coalesce("idf", F.lit(other)))
     norms = weighed.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighed.join(F.broadcast(templates), "word").groupBy(*key, "template").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"))
-    scores = dots.join(norms, key).select(*key, "template", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-    return scores.groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("template").alias("license"))).alias("b")).select(*key, F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    dots = weighed.join(F.broadcast(vectors), "word").groupBy(*key, "template", "license", "whole", "marks").agg(F.sum(F.col("w") * F.col("unit")).alias("dot"), F.sum("mark").alias("marked"))
+    return dots.where("marked = marks").join(norms, key).select(*key, "license", "whole", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+
+
+def _best(scores: DataFrame, name: str) -> DataFrame:
+    best = scores.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
+    return best.select("file", F.col("b.license").alias(f"{name}_license"), (-F.col("b.s")).alias(f"{name}_score"))
 
 
 def scan(files: DataFrame, key_col="key", path_col="path", text_col="text") -> DataFrame:
@@ -77,31 +169,35 @@ def scan(files: DataFrame, key_col="key", path_col="path", text_col="text") -> D
     license (the first of these three that there is)."""
     spark = files.sparkSession
     own = files.select(F.col(key_col).alias("key"), F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    vocabulary = sorted({w for _, w, _ in template_words()})
-    known, anchors = F.array(*map(F.lit, vocabulary)), F.array(*map(F.lit, ANCHORS))
+    vocabulary = sorted({w for _, _, words, _ in templates() for w in words})
 
-    lines = own.where("text IS NOT NULL").select("key", "path", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line", "said")).select("key", "path", "line", "said", _words("said").alias("words"))
-    # statistics of all lines: at most one row for each word of the templates, and the count of lines
-    df = lines.select(F.explode(F.array_append(F.array_intersect("words", known), F.lit(""))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    df = {r.word: r.df for r in df.collect()}
+    # statistics of all texts: at most one row for each word of the templates, and the count of texts
+    known = F.broadcast(spark.createDataFrame([(w,) for w in [*vocabulary, ""]], "word string"))
+    df = own.where("text IS NOT NULL").select(F.explode(F.array_append(F.array_distinct(_words("text")), F.lit(""))).alias("word")).join(known, "word")
+    df = {r.word: r.df for r in df.groupBy("word").agg(F.count("*").alias("df")).collect()}
     total = df.get("", 0)
     other = math.log(1 + max(1, total))
     idf = {w: math.log(1 + total / max(1, df.get(w, 0))) if total else 1.0 for w in vocabulary}
+    vectors = [_weights(words, idf) for _, _, words, _ in templates()]
     idf_table = spark.createDataFrame(sorted(idf.items()), "word string, idf double")
-    rows = []
-    for name in TEMPLATES:
-        vector = {w: n * idf[w] for t, w, n in template_words() if t == name}
-        norm = math.sqrt(sum(x * x for x in vector.values()))
-        rows += [(name, w, x / norm) for w, x in vector.items()]
-    unit_table = spark.createDataFrame(sorted(rows), "template string, word string, unit double")
-
-    # equal texts under one key and path are one file
-    said = F.lower(F.col("text")).rlike(r"(?<![0-9a-z\x{80}-\x{10FFFF}])(" + "|".join(ANCHORS) + r")(?![0-9a-z\x{80}-\x{10FFFF}])")
-    candidates = settle(own.where(said).distinct().withColumn("file", F.sha2(F.concat_ws("\u0001", F.col("key").cast("string"), "path", "text"), 256)), "candidates")
-    units = candidates.select("file", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line", "said")).select("file", "line", _words("said").alias("words")).where(F.arrays_overlap("words", anchors))
-    headers = _cosines(units, ["file", "line"], idf_table, unit_table, other).where(F.col("score") >= HEADER)
-    headers = headers.groupBy("file").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "line")).alias("b")).select("file", F.col("b.license").alias("header_license"), (-F.col("b.s")).alias("header_score"))
-    whole = _cosines(candidates.select("file", _words("text").alias("words")), ["file"], idf_table, unit_table, other).where(F.col("score") >= WHOLE).select("file", F.col("license").alias("file_license"), F.col("score").alias("file_score"))
+    rows = [(i, name, whole, len(marks), w, x, int(w in marks)) for i, ((name, whole, _, marks), vector) in enumerate(zip(templates(), vectors)) for w, x in vector.items()]
+    vector_table = spark.createDataFrame(rows, "template int, license string, whole boolean, marks int, word string, unit double, mark int")
+
+    notices = [v for (_, whole, _, _), v in zip(templates(), vectors) if not whole]
+    texts = [v for (_, whole, _, _), v in zip(templates(), vectors) if whole]
+    leads = F.array(*map(F.lit, sorted(leading(notices, HEADER))))
+    heavy, n = required(texts, WHOLE)
+    heavy = F.array(*map(F.lit, sorted(heavy)))
+    # one look at the words of a text; equal texts under one key and path are one file
+    signs = F.transform(F.array(_words("text")), lambda w: F.struct(F.arrays_overlap(w, leads).alias("lead"), (F.size(F.array_intersect(heavy, w)) >= n).alias("whole")))[0]
+    candidates = own.where("text IS NOT NULL").withColumn("sign", signs).where("sign.lead OR sign.whole").distinct()
+    candidates = settle(candidates.withColumn("file", F.monotonically_increasing_id()), "candidates")
+    lines = candidates.where("sign.lead").select("file", F.posexplode(F.split("text", LINE)).alias("unit", "said"))
+    paragraphs = candidates.where("sign.lead").select("file", F.posexplode(F.split("text", PARAGRAPH)).alias("unit", "said")).withColumn("unit", -1 - F.col("unit"))
+    units = lines.unionByName(paragraphs).select("file", F.col("unit").alias("no"), _words("said").alias("words")).where(F.arrays_overlap("words", leads))
+    headers = _best(_cosines(units, ["file", "no"], idf_table, vector_table.where("NOT whole"), other).where(F.col("score") >= HEADER), "header")
+    whole = _cosines(candidates.select("file", _words("text").alias("words")), ["file"], idf_table, vector_table, other)
+    whole = _best(whole.where(F.when(F.col("whole"), F.col("score") >= WHOLE).otherwise(F.col("score") >= SOLE)), "file")
     found = candidates.join(headers, "file", "left").join(whole, "file", "left").where("header_license IS NOT NULL OR file_license IS NOT NULL")
     found = settle(found.select("key", "path", F.sha2("text", 256).alias("sha"), "header_license", "header_score", "file_license", "file_score"), "found")
 
@@ -114,7 +210,7 @@ def scan(files: DataFrame, key_col="key", path_col="path", text_col="text") -> D
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(steps, 1, i), "/").alias("above")))).alias("a")).select("dir", "a.depth", "a.above").distinct()
     nearest = above.join(licensed, "above").groupBy("dir").agg(F.max_by(F.struct("inherited_license", "inherited_from"), "depth").alias("n")).select("dir", "n.*")
 
-    # a directory may hold a third of all files: its one row is repeated for each salt
+    # a directory with a licence may hold a third of all files: its one row is repeated for each salt
     salted = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = own.select("key", "path", parent.alias("dir"), F.sha2("text", 256).alias("sha"), F.pmod(F.xxhash64("key", "path"), F.lit(SALTS)).cast("int").alias("salt"))
     rows = rows.join(salted, ["dir", "salt"], "left")

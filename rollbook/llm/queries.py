@@ -81,34 +81,34 @@ def op9_ann(spark, sf_dir):
 def op10_licenses(spark, sf_dir):
     return licenses.scan(licenses.document_paths(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
+
 def op10_sql() -> str:
-    words = ", ".join(f"('{t}', '{w}', {n})" for t, w, n in licenses.template_words())
-    anchors = "[" + ", ".join(f"'{a}'" for a in licenses.ANCHORS) + "]"
+    names = ", ".join(f"({i}, '{name}', {str(whole).lower()}, {len(marks)})" for i, (name, whole, _, marks) in enumerate(licenses.templates()))
+    words = ", ".join(f"({i}, '{w}', {n}, {int(w in marks)})" for i, (_, _, own, marks) in enumerate(licenses.templates()) for w, n in sorted(own.items()))
+    split = r"list_filter(regexp_split_to_array(lower(said), '[^0-9A-Za-z\x{80}-\x{10FFFF}]+'), lambda w: w != '')"
     return rf"""
 WITH files AS (
   SELECT doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || CAST(doc_id // 100 AS VARCHAR) AS dir, text FROM documents
-), split AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS list FROM files WHERE text IS NOT NULL),
-raw AS (SELECT doc_id, unnest(list) AS said, generate_subscripts(list, 1) AS line FROM split),
-lines AS (SELECT doc_id, line, list_filter(regexp_split_to_array(lower(said), '[^0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+'), lambda w: w != '') AS words FROM raw),
-n AS (SELECT count(*) AS n FROM lines),
-tw(template, word, c) AS (VALUES {words}),
-vocab AS (SELECT DISTINCT word FROM tw),
-df AS (SELECT v.word, count(l.word) AS df FROM vocab v LEFT JOIN (SELECT unnest(list_distinct(words)) AS word FROM lines) l ON l.word = v.word GROUP BY 1),
-idf AS (SELECT word, ln(1 + CAST(n AS DOUBLE) / greatest(1, df)) AS idf FROM df, n),
-unit AS (SELECT template, tw.word, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY template)) AS u FROM tw JOIN idf USING (word)),
+), tw(t, word, c, mark) AS (VALUES {words}), name(t, license, whole, marks) AS (VALUES {names}),
 units AS (
-  SELECT doc_id, line, words FROM lines WHERE len(list_intersect(words, {anchors})) > 0
-  UNION ALL SELECT doc_id, 0, flatten(list(words)) FROM lines WHERE doc_id IN (SELECT doc_id FROM lines WHERE len(list_intersect(words, {anchors})) > 0) GROUP BY doc_id
-), tf AS (SELECT doc_id, line, word, count(*) AS tf FROM (SELECT doc_id, line, unnest(words) AS word FROM units) GROUP BY 1, 2, 3),
-w AS (SELECT doc_id, line, tf.word, tf * coalesce(idf, ln(1 + greatest(1, n))) AS w FROM n, tf LEFT JOIN idf USING (word)),
-norm AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1, 2),
-score AS (SELECT w.doc_id, w.line, template, round(sum(w * u) / any_value(norm), 6) AS s FROM w JOIN unit USING (word) JOIN norm ON norm.doc_id = w.doc_id AND norm.line = w.line GROUP BY 1, 2, 3),
-header AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, template, line) AS r FROM score WHERE line > 0) WHERE r = 1 AND s >= {licenses.HEADER}),
-whole AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, template) AS r FROM score WHERE line = 0) WHERE r = 1 AND s >= {licenses.WHOLE}),
-folder AS (SELECT * FROM (SELECT dir, dir || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, template, row_number() OVER (PARTITION BY dir ORDER BY s DESC, dir || '/' || CAST(doc_id AS VARCHAR) || '.txt') AS r FROM whole JOIN files USING (doc_id)) WHERE r = 1),
-near AS (SELECT * FROM (SELECT d.dir, f.template, f.path, row_number() OVER (PARTITION BY d.dir ORDER BY length(f.dir) DESC) AS r FROM (SELECT DISTINCT dir FROM files) d JOIN folder f ON d.dir = f.dir OR starts_with(d.dir, f.dir || '/')) WHERE r = 1)
-SELECT files.doc_id, files.dir || '/' || CAST(files.doc_id AS VARCHAR) || '.txt' AS path, header.template AS header_license, header.s AS header_score, whole.template AS file_license,
-  near.template AS inherited_license, near.path AS inherited_from, coalesce(header.template, whole.template, near.template) AS license
+  SELECT doc_id, 0 AS unit, text AS said FROM files WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, generate_subscripts(list, 1), unnest(list) FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\r|\n') AS list FROM files)
+  UNION ALL SELECT doc_id, -generate_subscripts(list, 1), unnest(list) FROM (SELECT doc_id, regexp_split_to_array(text, '\n[ \t\r/*#;%!-]*\n') AS list FROM files)
+), tf AS (SELECT doc_id, unit, word, count(*) AS tf FROM (SELECT doc_id, unit, unnest({split}) AS word FROM units) GROUP BY 1, 2, 3),
+n AS (SELECT count(text) AS n FROM files),
+df AS (SELECT v.word, count(tf.word) AS df FROM (SELECT DISTINCT word FROM tw) v LEFT JOIN tf ON tf.word = v.word AND tf.unit = 0 GROUP BY 1),
+idf AS (SELECT word, ln(1 + CAST(n AS DOUBLE) / greatest(1, df)) AS idf FROM df, n),
+vec AS (SELECT t, word, mark, (1 + ln(c)) * idf / sqrt(sum((1 + ln(c)) * idf * (1 + ln(c)) * idf) OVER (PARTITION BY t)) AS u FROM tw JOIN idf USING (word)),
+w AS (SELECT doc_id, unit, tf.word, (1 + ln(tf)) * coalesce(idf, ln(1 + greatest(1, n))) AS w FROM n, tf LEFT JOIN idf USING (word)),
+norm AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1, 2),
+dot AS (SELECT w.doc_id, w.unit, vec.t, sum(w * u) AS dot, sum(mark) AS marked FROM w JOIN vec USING (word) GROUP BY 1, 2, 3),
+score AS (SELECT dot.doc_id, dot.unit, license, whole, round(dot / norm, 6) AS s FROM dot JOIN name USING (t) JOIN norm ON norm.doc_id = dot.doc_id AND norm.unit = dot.unit WHERE marked = marks),
+header AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, license) AS r FROM score WHERE unit != 0 AND NOT whole AND s >= {licenses.HEADER}) WHERE r = 1),
+whole AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, license) AS r FROM score WHERE unit = 0 AND s >= CASE WHEN whole THEN {licenses.WHOLE} ELSE {licenses.SOLE} END) WHERE r = 1),
+folder AS (SELECT * FROM (SELECT dir, dir || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, license, row_number() OVER (PARTITION BY dir ORDER BY s DESC, dir || '/' || CAST(doc_id AS VARCHAR) || '.txt') AS r FROM whole JOIN files USING (doc_id)) WHERE r = 1),
+near AS (SELECT * FROM (SELECT d.dir, f.license, f.path, row_number() OVER (PARTITION BY d.dir ORDER BY length(f.dir) DESC) AS r FROM (SELECT DISTINCT dir FROM files) d JOIN folder f ON d.dir = f.dir OR starts_with(d.dir, f.dir || '/')) WHERE r = 1)
+SELECT files.doc_id, files.dir || '/' || CAST(files.doc_id AS VARCHAR) || '.txt' AS path, header.license AS header_license, header.s AS header_score, whole.license AS file_license,
+  near.license AS inherited_license, near.path AS inherited_from, coalesce(header.license, whole.license, near.license) AS license
 FROM files LEFT JOIN header USING (doc_id) LEFT JOIN whole USING (doc_id) LEFT JOIN near ON near.dir = files.dir
 """
 
