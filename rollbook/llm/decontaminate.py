@@ -6,17 +6,21 @@ occur in it), the symbol runs are suffix-sorted into a Burrows-Wheeler transform
 matrix, and all windows are searched backwards at once by its ranks. Occurrences are located by
 walking to sampled suffix positions and merged into removal spans.
 
-The benchmark is a stated test set. Up to BLOCK_BYTES of its texts go out with the tasks in one
-pass; a larger one is taken in several passes, each with as much, whose spans are merged.
-
-Defined cases: a null or empty text has no words and is clean; benchmark rows with a null id or
-text, or without words, have no window; items of one id are one item; an empty benchmark leaves
-everything clean; repeated documents keep their rows; other columns are ignored by
-`contamination` and kept by `drop_contaminated`.
+The benchmark is a stated test set. About BLOCK_WORDS of its words go out with the tasks in one
+pass, as one flat array of symbols and their vocabulary; of a larger one (or of longer items: they
+are dealt out in overlapping pieces of PIECE_WORDS) each pass takes as much, and writes what it
+finds before the next one begins. A document beyond PIECE_BYTES is indexed in overlapping pieces.
+
+Defined cases: a null or empty text has no words and is clean; very long texts are taken whole, a
+piece at a time; benchmark rows with a null id or text, or without words, have no window; items of
+one id are one item; an empty benchmark leaves everything clean; repeated documents keep their
+rows; other columns are ignored by `contamination` and kept by `drop_contaminated`.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -24,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import byte_slices, claim, ragged, texts_of, trimmed
+from rollbook.llm.common import byte_slices, claim, dropped, mapped, ragged, remembered, settle, texts_of, trimmed
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_WORDS, PIECE_WORDS = 1 << 19, 1 << 16
+PIECE_BYTES = 4 << 20
 SAMPLE_RATE = 8
 #: Upper case to lower case; the bytes that words cannot hold to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 48 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 127 else b for b in range(256))
-
+_BREAK = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -127,21 +132,42 @@ class FMIndex:
         return out
 
 
+class Block:
+    """Some pieces of benchmark items on their way to the tasks: their words as symbols, one piece
+    after the other, the item of each piece, and the vocabulary."""
+
+    def __init__(self, pieces: list[tuple[int, bytes]]):
+        symbol: dict[bytes, int] = {}
+        own = [[symbol.setdefault(w, len(symbol) + 1) for w in text.split()] for _, text in pieces]
+        self.ends = np.cumsum([len(x) for x in own]).astype(np.int64)
+        self.symbols = np.fromiter((i for x in own for i in x), np.int32, int(self.ends[-1]) if own else 0)
+        self.items = np.array([i for i, _ in pieces], np.int64)
+        self.words = b" ".join(symbol)
+        self.name = uuid.uuid4().hex
+
+
 class Phrases:
-    """The windows of a block of benchmark items, as symbols."""
-
-    def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
-        self.symbol: dict[bytes, int] = {}
-        owners: dict[tuple, set] = {}
-        for item, text in items:
-            ids = [self.symbol.setdefault(w, len(self.symbol) + 1) for w in split_words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.owners = [np.array(sorted(x), np.int64) for x in owners.values()]
-        self.lens = np.array([len(x) for x in owners], np.int64)
-        self.patterns = np.zeros((len(owners), window), np.int64)
-        for i, x in enumerate(owners):
-            self.patterns[i, window - len(x) :] = x
+    """The different windows of a block, each with the items that hold it."""
+
+    def __init__(self, block: Block, window: int = WINDOW):
+        self.symbol = {w: i for i, w in enumerate(block.words.split(), 1)}
+        starts = np.concatenate((np.zeros(1, np.int64), block.ends[:-1])) if len(block.ends) else block.ends
+        sizes = block.ends - starts
+        n = np.where(sizes > 0, np.maximum(1, sizes - window + 1), 0)
+        first, lens = ragged(starts, n), np.repeat(np.minimum(sizes, window), n)
+        rows = np.zeros((len(first), window), np.int32)  # right-aligned
+        for j in range(window):
+            own = lens > j
+            rows[own, window - 1 - j] = block.symbols[(first + lens - 1 - j)[own]]
+        _, at, which = np.unique(rows.view([("", np.int32)] * window).ravel(), return_index=True, return_inverse=True)
+        self.patterns, self.lens = rows[at], lens[at]
+        pairs = np.unique(np.stack((which.ravel(), np.repeat(block.items, n)), 1), axis=0)
+        self.owner_ends, self.owner_items = np.searchsorted(pairs[:, 0], np.arange(len(at)), "right"), pairs[:, 1]
+
+    def owners(self, windows: np.ndarray) -> list[int]:
+        """The items of some different windows."""
+        begin = np.where(windows > 0, self.owner_ends[windows - 1], 0)
+        return self.owner_items[ragged(begin, self.owner_ends[windows] - begin)].tolist()
 
     def occurrences(self, texts: list[bytes]):
         """Words of each text, and the (text, first word, window) of each occurrence."""
@@ -192,54 +218,121 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = "array<struct<first:long,after:long>>"
 
 
-def _scan(phrases: Phrases):
+def _pieces(text: bytes, carry: int):
+    """(words before the piece, words of it that the one before had, piece) of a long text."""
+    at, before, held = 0, 0, []
+    while at < len(text):
+        cut = _BREAK.search(text, at + PIECE_BYTES)
+        stop = cut.start() if cut else len(text)
+        own = split_words(text[at:stop])
+        yield before - len(held), len(held), b" ".join([*held, *own])
+        before += len(own)
+        held, at = (held + own)[len(held) + len(own) - carry :] if carry < len(held) + len(own) else held + own, stop
+
+
+def _scan(block: Block, window: int, sparse: bool):
+    """Over batches with a column `text`: n_words, spans and items are filled in; sparse: only rows
+    with an occurrence, as key, spans and items."""
+
     @trimmed
     def run(batches):
         claim("decontaminate")
+        phrases = remembered("decontaminate", block.name, lambda: Phrases(block, window))
         for batch in batches:
             texts = texts_of(batch, "text")
-            spans = [[(s["first"], s["after"]) for s in x] for x in batch.column("spans").to_pylist()]
-            items = [set(x) for x in batch.column("items").to_pylist()]
-            counts = []
-            for a, b in byte_slices(texts):
-                n, text, word, window = phrases.occurrences(texts.slice(a, b - a).cast(pa.large_binary()).to_pylist())
-                counts.append(n)
+            spans, items, n_words = [[] for _ in range(len(texts))], [set() for _ in range(len(texts))], np.zeros(len(texts), np.int64)
+
+            def found(of: np.ndarray, text, word, which):
                 order = np.argsort(text, kind="stable")
-                text, word, window = text[order], word[order], window[order]
+                text, word, which = text[order], word[order], which[order]
                 begins = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(text) else []
                 for x, y in zip(begins, [*begins[1:], len(text)]):
-                    t, w, p = int(text[x]), word[x:y], window[x:y]
-                    spans[a + t] = _merged(spans[a + t] + list(zip(w.tolist(), (w + phrases.lens[p]).tolist())))
-                    items[a + t].update(np.concatenate([phrases.owners[x] for x in np.unique(p)]).tolist())
-            n_words = np.concatenate([np.zeros(0, np.int64), *counts])
-            found = {
+                    t, w, p = int(of[text[x]]), word[x:y], which[x:y]
+                    spans[t] = _merged(spans[t] + list(zip(w.tolist(), (w + phrases.lens[p]).tolist())))
+                    items[t].update(phrases.owners(np.unique(p)))
+
+            for a, b in byte_slices(texts):
+                own = texts.slice(a, b - a).cast(pa.large_binary()).to_pylist()
+                if len(own) == 1 and len(own[0]) > PIECE_BYTES:
+                    for before, again, piece in _pieces(own[0], window - 1):
+                        n, text, word, which = phrases.occurrences([piece])
+                        n_words[a] += int(n[0]) - again
+                        found(np.array([a]), text, word + before, which)
+                else:
+                    n, text, word, which = phrases.occurrences(own)
+                    n_words[a:b] = n
+                    found(np.arange(a, b), text, word, which)
+            kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
+            out = {
                 "n_words": pa.array(n_words),
-                "spans": pa.array([[{"first": x, "after": y} for x, y in s] for s in spans], pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))),
+                "spans": pa.array([[{"first": x, "after": y} for x, y in s] for s in spans], kind),
                 "items": pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
             }
-            yield pa.RecordBatch.from_arrays([found.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
+            if sparse:
+                keep = pa.array([bool(s) for s in spans])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), out["spans"], out["items"]], ["key", "spans", "items"]).filter(keep)
+            else:
+                yield pa.RecordBatch.from_arrays([out.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
 
     return run
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """Lists of (id, text), each of at most BLOCK_BYTES of text or one item."""
+def _item_pieces(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """i, no, words (joined by spaces), n: overlapping pieces of the items that have words."""
+
+    def deal(batches):
+        for batch in batches:
+            for item, text in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist()):
+                words = split_words(text)
+                starts = range(0, max(1, len(words) - window + 1), PIECE_WORDS) if words else ()
+                rows = [words[a : a + PIECE_WORDS + window - 1] for a in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int32()), pa.array([b" ".join(r) for r in rows], pa.binary()), pa.array([len(r) for r in rows], pa.int64())], ["i", "no", "words", "n"])
+
     rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.encode(text_col, "utf-8").alias("t"))
-    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = -(-total // BLOCK_BYTES) or 1
-    for p in range(parts):
-        own = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == p)
-        yield [(r.i, bytes(r.t)) for r in own.collect()]
+    return settle(mapped(rows, deal, "i long, no int, words binary, n long"), "pieces")
+
+
+def _blocks(benchmark: DataFrame, window: int, id_col="item_id", text_col="text"):
+    """The number of blocks, and one after the other, each made when it is asked for."""
+    pieces = _item_pieces(benchmark, window, id_col, text_col)
+    parts = max(1, -(-(pieces.agg(F.sum("n")).first()[0] or 0) // BLOCK_WORDS))
+
+    def made():
+        for p in range(parts):
+            own = pieces.where(F.pmod(F.xxhash64("i", "no"), F.lit(parts)) == p).select("i", "words")
+            yield Block([(r.i, bytes(r.words)) for r in own.collect()])
+        dropped(pieces)
+
+    return parts, made()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col="text") -> DataFrame:
     """row (all columns of docs), text, n_words, spans (of word positions, merged, `after` not
     included), items, and the verdict on them."""
+    parts, blocks = _blocks(benchmark, window)
     out = docs.select(
         F.struct("*").alias("row"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<long>").alias("items")
     )
-    for block in _blocks(benchmark, "item_id", "text"):
-        out = out.mapInArrow(_scan(Phrases(block, window)), out.schema)
+    first = next(blocks)
+    if parts == 1:
+        out = mapped(out, _scan(first, window, False), out.schema)
+    else:
+        # what a pass finds depends on the text alone
+        key, hits, block = F.sha2(F.coalesce("text", F.lit("")), 256), None, first
+        while block is not None:
+            found = mapped(out.select(key.alias("key"), "text").distinct(), _scan(block, window, True), f"key string, spans {SPANS}, items array<long>")
+            found = settle(found, "hits")
+            hits, block = found if hits is None else hits.unionByName(found), next(blocks, None)
+        merged = hits.groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
+        nothing = Block([])
+        counted = mapped(out, _scan(nothing, window, False), out.schema)
+        joined = F.aggregate(
+            "s",
+            F.array().cast(SPANS),
+            lambda done, x: F.when((F.size(done) > 0) & (x.first <= F.get(done, F.size(done) - 1).after), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.get(done, F.size(done) - 1).first.alias("first"), F.greatest(F.get(done, F.size(done) - 1).after, x.after).alias("after"))))).otherwise(F.concat(done, F.array(x))),
+        )
+        merged = merged.select("key", joined.alias("s"), "i")
+        out = counted.join(merged, key == F.col("key"), "left").select("row", "text", "n_words", F.coalesce("s", "spans").alias("spans"), F.coalesce("i", "items").alias("items"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s.after - s.first)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return out.select("*", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256")).withColumn(
@@ -254,8 +347,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
 
 
 def _word_offsets(text: str) -> list[tuple[int, int]]:
-    import re
-
     return [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
 
 

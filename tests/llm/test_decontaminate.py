@@ -1,8 +1,11 @@
+import functools
 import hashlib
+import pickle
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rollbook.llm import decontaminate as dc
@@ -13,6 +16,11 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
 
 
+@functools.cache
+def known(text, items):
+    return brute(text, items)
+
+
 def brute(text, items):
     own, hit, found = words(text), set(), set()
     for item, its in items:
@@ -34,15 +42,17 @@ def bench(spark, sf_dir):
     return own.unionByName(spark.createDataFrame(rows, own.schema))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 3000])
-def test_against_brute_force(docs, bench, block_bytes, monkeypatch):
-    monkeypatch.setattr(dc, "BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize("block_words, piece_words", [(1 << 19, 1 << 16), (900, 1 << 16), (2000, 20)])
+def test_against_brute_force(docs, bench, block_words, piece_words, monkeypatch):
+    """In one pass, in several, and with items in pieces."""
+    monkeypatch.setattr(dc, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(dc, "PIECE_WORDS", piece_words)
     items = [(r.item_id, r.text) for r in bench.collect() if r.item_id is not None and r.text]
     got = {r.doc_id: r for r in dc.contamination(docs, bench).collect()}
-    rows = docs.where("length(text) < 20000 or text is null").collect()
+    rows = docs.where("length(text) < 6000 or text is null").collect()
     for r in rows:
         g = got[r.doc_id]
-        assert (g.n_words, g.n_hit, g.n_items, g.items_sha256, g.contaminated) == brute(r.text, items)
+        assert (g.n_words, g.n_hit, g.n_items, g.items_sha256, g.contaminated) == known(r.text, tuple(items))
     assert any(g.contaminated for g in got.values()) and len(got) >= len(rows) - 1
 
 
@@ -58,6 +68,31 @@ def test_index_finds_every_occurrence():
             assert got == [i for i in range(len(symbols) - size + 1) if symbols[i : i + size].tolist() == p]
 
 
+def test_pieces_of_long_texts(monkeypatch):
+    """Documents and items in pieces give what they give whole."""
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["a", "bb", "c,", "D"]) for _ in range(3000)).encode()
+    items = [(i, " ".join(rng.choice(["a", "bb", "c", "d"]) for _ in range(n)).encode()) for i, n in enumerate([3, 5, 13, 14, 40])] + [(9, b" ".join(dc.split_words(text)[100:160]))]
+
+    def scanned():
+        batch = pa.RecordBatch.from_pydict({"text": [text.decode()], "n_words": [0], "spans": [[]], "items": [[]]})
+        return next(dc._scan(dc.Block(items), 13, False).__wrapped__(iter([batch]))).to_pylist()[0]
+
+    whole = scanned()
+    assert whole["n_words"] == 3000 and {0, 9} <= set(whole["items"])
+    for size in (64, 500, 2999):
+        monkeypatch.setattr(dc, "PIECE_BYTES", size)
+        got = scanned()
+        assert (got["n_words"], got["spans"], got["items"]) == (whole["n_words"], whole["spans"], whole["items"])
+
+
+def test_a_block_is_small():
+    """What goes to the tasks is of the size of the text."""
+    rng = random.Random(4)
+    pieces = [(i, " ".join(f"word{rng.randrange(50000)}" for _ in range(300)).encode()) for i in range(1000)]
+    assert len(pickle.dumps(dc.Block(pieces))) < 1.2 * sum(len(t) for _, t in pieces)
+
+
 def test_cut_spans():
     assert dc.cut_spans("One, two three. Four!", [(1, 3)]) == "One, . Four!"
 
