@@ -11,7 +11,11 @@ restored words, counted once for a family of near copies (a shared least hash of
 A word counts with its strongest feature's lower confidence bound (Wilson's) of the share of toxic
 documents, and a document's words combine as independent causes; bounds below LEAST are left out.
 
-Defined cases: null and empty texts get the score of a document without evidence; labels that are
+Texts are read in pieces of PIECE characters, cut at white space; a token beyond LONG characters is
+decoded in parts of so many.
+
+Defined cases: null and empty texts get the score of a document without evidence; very long ones
+are scored whole; labels that are
 null are left out, of contradicting labels the toxic one counts; without labels of both kinds
 nothing is evidence; repeated rows repeat; other columns are ignored by `scores` and kept by
 `drop_toxic`.
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import SLICE_BYTES, byte_slices, claim, held_out, settle, texts_of, trimmed
+from rollbook.llm.common import SLICE_BYTES, byte_slices, claim, dropped, held_out, mapped, settle, texts_of, trimmed
 
 THRESHOLD = 0.7
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_TASKS = 8000, 16000, 16
@@ -39,6 +43,7 @@ GRAM = 5
 #: Of features, the most specific first.
 KINDS = ("word", "beginning", "inside")
 MEMO_TOKENS = 600_000
+PIECE, LONG = 1 << 20, 1000
 #: Symbols of the character model: 0 none (a word's edge), 1 to 26 letters, 27 other letters.
 ALPHABET = 28
 _CLASS = np.zeros(256, np.uint8)
@@ -52,6 +57,8 @@ _EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’*_-–—/\\"
 _PLAIN = re.compile(r"[^\W\d_]+\Z")
 _TRIPLE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:\S[ \t.\-_*]){3,}\S(?!\S)")
+#: Where a text may be cut: not among single characters, if there is another place near.
+_CUT, _SPACE = re.compile(r"(?<=\S\S)\s"), re.compile(r"\s")
 
 
 def trigram_counts(docs: DataFrame, text_col="text") -> DataFrame:
@@ -66,13 +73,15 @@ def trigram_counts(docs: DataFrame, text_col="text") -> DataFrame:
             for a, b in byte_slices(texts, SLICE_BYTES // 4):
                 part = texts.slice(a, b - a)
                 raw = np.frombuffer(b"\n\n".join([b"", *(x.as_py() for x in part.cast(pa.large_binary())), b""]), np.uint8)
-                c = _CLASS[raw[(raw & 0xC0) != 0x80]].astype(np.int32)
-                if len(c) > 2:
-                    total += np.bincount((c[:-2] * ALPHABET + c[1:-1]) * ALPHABET + c[2:], minlength=ALPHABET**3)
+                symbols = _CLASS[raw[(raw & 0xC0) != 0x80]]
+                for at in range(0, max(1, len(symbols) - 2), SLICE_BYTES // 4):
+                    c = symbols[at : at + SLICE_BYTES // 4 + 2].astype(np.int32)
+                    if len(c) > 2:
+                        total += np.bincount((c[:-2] * ALPHABET + c[1:-1]) * ALPHABET + c[2:], minlength=ALPHABET**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["trigram", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "trigram int, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
+    return mapped(docs.select(text_col), run, "trigram int, n long").groupBy("trigram").agg(F.sum("n").alias("n"))
 
 
 def language_model(docs: DataFrame, text_col="text") -> np.ndarray:
@@ -137,6 +146,8 @@ def restore(token: str, model: np.ndarray) -> str:
 
 def readings(token: str, model: np.ndarray) -> list[str]:
     """The restored words of a token."""
+    if len(token) > LONG:
+        return [w for a in range(0, len(token), LONG) for w in readings(token[a : a + LONG], model)]
     low = token.lower().strip(_EDGE)
     if not low:
         return []
@@ -163,7 +174,19 @@ def bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) % BUCKETS
 
 
+def _pieces(text: str):
+    at = 0
+    while at + PIECE < len(text):
+        cut = _CUT.search(text, at + PIECE, at + PIECE + 4 * LONG) or _SPACE.search(text, at + PIECE)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def _tokens(text: str) -> set[str]:
+    """The tokens of a piece."""
     found = set(text.split())
     found.update(_SPACED.findall(text))
     return found
@@ -171,9 +194,14 @@ def _tokens(text: str) -> set[str]:
 
 def _family(text: str) -> int:
     """Near copies mostly share the two least hashes of their word triples."""
-    words = text.split()
-    hashes = sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})
-    return hashes[0] << 31 ^ hashes[min(1, len(hashes) - 1)]
+    least, before = [], []
+    for piece in _pieces(text):
+        words = before + piece.split()
+        if len(words) > 2 or not least:
+            hashes = {zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))}
+            least = sorted(hashes.union(least))[:2]
+        before = words[-2:]
+    return least[0] << 31 ^ least[-1]
 
 
 def lower_bounds(toxic: np.ndarray, clean: np.ndarray) -> dict[int, float]:
@@ -205,18 +233,19 @@ class Scorer:
         self.e, self.known, self.says = evidence, set(), {}
 
     def score(self, text: str) -> float:
-        found = _tokens(text)
-        if len(self.known) > MEMO_TOKENS:
-            self.known, self.says = set(), {}
-        for token in found - self.known:
-            words = readings(token, self.e.model)
-            told = [(w, best) for w in words if (best := self.e.of(w))]
-            if told:
-                self.says[token] = told
-        self.known |= found
         best: dict[str, float] = {}
-        for token in found & self.says.keys():
-            best.update(self.says[token])
+        for piece in _pieces(text):
+            found = _tokens(piece)
+            if len(self.known) > MEMO_TOKENS:
+                self.known, self.says = set(), {}
+            for token in found - self.known:
+                words = readings(token, self.e.model)
+                told = [(w, p) for w in words if (p := self.e.of(w))]
+                if told:
+                    self.says[token] = told
+            self.known |= found
+            for token in found & self.says.keys():
+                best.update(self.says[token])
         clean = 1 - self.e.nothing
         for word in sorted(best):
             clean *= 1 - best[word]
@@ -260,7 +289,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
                     if family != now:  # rows are in order of the family
                         now, seen = family, {0: set(), 1: set()}
                     found: set[int] = set()
-                    for token in _tokens(text or ""):
+                    for token in (t for piece in _pieces(text or "") for t in _tokens(piece)):
                         if token not in memo:
                             if len(memo) > MEMO_TOKENS // 6:
                                 memo.clear()
@@ -284,17 +313,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
             n: dict[str, int] = {}
             for batch in batches:
                 for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                    words = {w for token in _tokens(text or "") for w in readings(token, model)} if toxic else ()
+                    words = {w for piece in _pieces(text or "") for token in _tokens(piece) for w in readings(token, model)} if toxic else ()
                     for f in {f for w in words if not evidence.of(w) for f in features(w, kind) if bucket(f) in buckets}:
                         n[f] = n.get(f, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
 
         return run
 
-    sample = settle(sample.mapInArrow(families, "text string, toxic int, family long").where("toxic IN (0, 1)"), "sample")
+    sample = settle(mapped(sample, families, "text string, toxic int, family long").where("toxic IN (0, 1)"), "sample")
     for kind in KINDS:  # a word that is evidence already doesn't count for what is less specific
         sums, n = {0: np.zeros(BUCKETS), 1: np.zeros(BUCKETS)}, {0: 0, 1: 0}
-        tasks = sample.repartition(SAMPLE_TASKS, "family").sortWithinPartitions("family", "toxic").mapInArrow(counter(kind), "toxic int, n long, at binary, counts binary")
+        tasks = mapped(sample.repartition(SAMPLE_TASKS, "family").sortWithinPartitions("family", "toxic"), counter(kind), "toxic int, n long, at binary, counts binary")
         for r in tasks.collect():  # two sparse arrays of a task
             at = np.frombuffer(zlib.decompress(r["at"]), "<u4")
             sums[r.toxic][at] += np.frombuffer(zlib.decompress(r["counts"]), "<u2")
@@ -306,9 +335,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
         if found:
             # buckets are shared: the feature that fills one is its evidence, what falls in beside it isn't
             fills: dict[int, tuple] = {}
-            for r in sample.mapInArrow(spell(kind, frozenset(found)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+            for r in mapped(sample, spell(kind, frozenset(found)), "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
                 fills[bucket(r.feature)] = max(fills.get(bucket(r.feature), (0, "")), (r.n, r.feature))
             evidence.p = evidence.p | {f: found[i] for i, (_, f) in fills.items()}
+    dropped(sample)
     return evidence
 
 
@@ -324,7 +354,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
             score = [own.score(t.as_py()) for t in texts_of(batch, text_col)]
             yield pa.RecordBatch.from_arrays([batch.column(id_col).cast(pa.int64()), pa.array(score, pa.float64())], ["doc_id", "score"])
 
-    out = docs.select(id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    out = mapped(docs.select(id_col, text_col), run, "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -339,4 +369,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="te
         for batch in batches:
             yield batch.filter(pa.array([own.score(t.as_py()) < THRESHOLD for t in texts_of(batch, text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
