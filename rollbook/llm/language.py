@@ -6,10 +6,11 @@ by loss: the language whose codeword has the least logistic loss wins, and a tex
 losses are close is flagged ambiguous.
 
 Counts of n-grams are taken over the whole text. The classifiers are fitted to a bounded sample:
-at most SAMPLE documents in all, as many of each language, by the smallest hash of their ids. More
-than LANGUAGES languages raise an error.
+SAMPLE documents in all, as many of each language but LEAST at least, by the smallest hash of their
+ids. The fit holds DENSE_ROWS of them at a time as a matrix.
 
-Defined cases: `und` with score 0 for null texts and texts without a letter; rows without a
+Defined cases: `und` with score 0 for null texts and texts without a letter; very long texts are
+counted whole, CHUNK bytes at a time; rows without a
 language teach nothing; if no language can be learned all is `und`; one language learned is
 predicted for every text with a letter; repeated rows repeat; other columns are ignored.
 """
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import byte_slices, held_out, settle, texts_of
+from rollbook.llm.common import byte_slices, dropped, held_out, mapped, settle, texts_of
 
-SAMPLE, LANGUAGES = 3200, 320
+SAMPLE, LEAST, DENSE_ROWS = 3200, 8, 8192
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 STEPS, RATE, DECAY = 300, 0.5, 1e-4
@@ -91,7 +92,8 @@ class Codebook:
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, score and ambiguity of each row."""
         margin = normal(counts) @ self.weights + self.bias
-        loss = np.logaddexp(0, -margin[:, None, :] * self.code[None]).sum(2)
+        step = max(1, (1 << 22) // self.code.size)
+        loss = np.concatenate([np.logaddexp(0, -margin[a : a + step, None, :] * self.code[None]).sum(2) for a in range(0, max(1, len(margin)), step)])
         order = np.argsort(loss, axis=1, kind="stable")
         likely = np.exp(-(loss - loss.min(1, keepdims=True)))
         likely /= likely.sum(1, keepdims=True)
@@ -101,30 +103,42 @@ class Codebook:
         return order[:, 0], best, best - second < AMBIGUOUS
 
 
-def fit(counts: np.ndarray, own: np.ndarray, languages: list[str]) -> Codebook:
-    """Logistic regression of all bits at once, by gradient descent."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], own: np.ndarray, languages: list[str]) -> Codebook:
+    """Logistic regression of all bits at once, by gradient descent. rows: the buckets and counts
+    of each document; own: its language."""
     code = codewords(len(languages))
-    x, y = normal(counts), code[own].astype(np.float32)
+    y = code[own].astype(np.float32)
     weight = 1.0 / np.bincount(own, minlength=len(languages))[own]
     weight = (weight / weight.sum()).astype(np.float32)[:, None]
     w, b = np.zeros((BUCKETS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     scale = np.float32(RATE * 100)
+
+    def block(a: int) -> np.ndarray:
+        counts = np.zeros((min(DENSE_ROWS, len(rows) - a), BUCKETS), np.float32)
+        for i, (at, n) in enumerate(rows[a : a + DENSE_ROWS]):
+            counts[i, at] = n
+        return normal(counts)
+
+    whole = block(0) if len(rows) <= DENSE_ROWS else None
     for _ in range(STEPS):
-        pull = y / (1 + np.exp(np.clip(y * (x @ w + b), -30, 30))) * weight
-        w += scale * (x.T @ pull) - DECAY * w
-        b += RATE * pull.sum(0)
+        toward, shift = np.zeros_like(w), np.zeros_like(b)
+        for a in range(0, len(rows), DENSE_ROWS):
+            x, part = block(a) if whole is None else whole, slice(a, a + DENSE_ROWS)
+            pull = y[part] / (1 + np.exp(np.clip(y[part] * (x @ w + b), -30, 30))) * weight[part]
+            toward += x.T @ pull
+            shift += pull.sum(0)
+        w += scale * toward - DECAY * w
+        b += RATE * shift
     return Codebook(languages, w, b)
 
 
 def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> Codebook | None:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").where(~held_out())
-    languages = sorted(r.lang for r in rows.groupBy("lang").agg(F.count("*")).limit(LANGUAGES + 1).collect())
-    if len(languages) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not languages:
         return None
-    each = SAMPLE // len(languages)
+    each = max(LEAST, SAMPLE // len(languages))
     ids = None
     for lang in languages if len(languages) <= 8 else ():
         part = rows.where(F.col("lang") == lang).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
@@ -134,7 +148,7 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") ->
 
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
         ids = rows.select("doc_id", "lang").withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_rank")
-    ids = settle(ids.distinct(), "taught")  # at most SAMPLE rows
+    ids = settle(ids.distinct(), "taught")  # at most SAMPLE rows, or LEAST of each language
 
     def sparse(batches):
         for batch in batches:
@@ -147,14 +161,13 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") ->
                 n.append(row[hit].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["doc_id", "lang", "at", "n"])
 
-    own = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(sparse, "doc_id long, lang string, at binary, n binary").orderBy("doc_id")
+    own = rows.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    own = mapped(own, sparse, "doc_id long, lang string, at binary, n binary").orderBy("doc_id", "lang")
     known = {x: i for i, x in enumerate(languages)}
-    found = own.collect()  # bounded: SAMPLE rows of at most 6 * BUCKETS bytes
-    counts, label = np.zeros((len(found), BUCKETS), np.float32), np.zeros(len(found), np.int64)
-    for i, r in enumerate(found):
-        counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
-        label[i] = known[r.lang]
-    return fit(counts, label, languages)
+    found = own.collect()  # bounded by the sample: at most 6 * BUCKETS bytes each
+    dropped(ids)
+    counts = [(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["n"], "<f4")) for r in found]
+    return fit(counts, np.array([known[r.lang] for r in found], np.int64), languages)
 
 
 def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
@@ -182,5 +195,5 @@ def identify(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang")
                 [batch.column(id_col).cast(pa.int64()), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(doubts, pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"]
             )
 
-    out = docs.select(id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    out = mapped(docs.select(id_col, text_col), run, "doc_id long, lang_pred string, score double, ambiguous boolean")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -21,6 +23,53 @@ def test_counts_do_not_depend_on_the_cut(monkeypatch):
     assert (lg.gram_counts([text]) == whole).all()
 
 
+def brute_counts(text):
+    """Hashed n-grams, one at a time."""
+    raw = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in b" " + text.encode() + b" "]
+    counts = Counter()
+    for order in lg.ORDERS:
+        for i in range(len(raw) - order + 1):
+            h = 0
+            for c in raw[i : i + order]:
+                h = (h * 0x9E3779B1 + c) % 2**32
+            if order > 1 or raw[i] != 32:
+                counts[(((h ^ h >> 15) * 0x85EBCA6B) % 2**32 >> 19) % lg.BUCKETS] += 1
+    return counts
+
+
+def test_against_brute_force(docs):
+    """Every text by plain counting, the margin of each bit and the loss of each codeword."""
+    book = lg.learn(docs)
+    rows = docs.where("length(text) < 3000 or text is null").collect()
+    got = {r.doc_id: r for r in lg.identify(docs).collect()}
+    for r in rows:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        counts = brute_counts(r.text)
+        total = sum(counts.values())
+        margins = [sum(math.sqrt(n / total) * float(book.weights[b, j]) for b, n in counts.items()) + float(book.bias[j]) for j in range(book.code.shape[1])]
+        loss = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margins, word)) for word in book.code.tolist()]
+        likely = [math.exp(-x) for x in loss]
+        assert got[r.doc_id].lang_pred == book.languages[loss.index(min(loss))]
+        assert abs(got[r.doc_id].score - max(likely) / sum(likely)) < 1e-4
+
+
+def test_many_languages(spark, monkeypatch):
+    """Hundreds of languages, and a sample that is held in several matrices: the same fit."""
+    rng = np.random.default_rng(3)
+    words = {f"l{i:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)] for i in range(330)}
+    rows = [(n, " ".join(rng.choice(own, 12)), lang) for n, (lang, own) in enumerate((x for x in words.items() for _ in range(4)), 1)]
+    got = lg.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    truth = {n: lang for n, _, lang in rows}
+    assert sum(truth[r.doc_id] == r.lang_pred for r in got) >= 0.9 * len(got)
+    few = [(np.flatnonzero(c), c[np.flatnonzero(c)]) for c in lg.gram_counts([t.encode() for _, t, _ in rows[:60]])]
+    own = np.arange(60) // 20
+    whole = lg.fit(few, own, ["a", "b", "c"])
+    monkeypatch.setattr(lg, "DENSE_ROWS", 7)
+    assert np.allclose(lg.fit(few, own, ["a", "b", "c"]).weights, whole.weights, atol=1e-4)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     rows = lg.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
