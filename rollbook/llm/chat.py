@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import ragged, settle
+from rollbook.llm.common import mapped, ragged, settle
 
 #: Control strings of this and other templates.
 CONTROLS = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -137,7 +137,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, segment, n_turns, text, loss (spans of code points)."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(_assembly, SEGMENTS)
+    return mapped(ordered.select("conv_id", "role", "text"), _assembly, SEGMENTS)
 
 
 def parse(text: str) -> list[tuple[str, str]]:
@@ -190,7 +190,7 @@ def _rows(out: list[list]) -> pa.RecordBatch:
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     ordered = formatted.select("conv_id", "segment", "text", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
-    return ordered.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(ordered, _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def round_trip(conversations: DataFrame) -> DataFrame:
