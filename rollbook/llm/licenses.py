@@ -9,10 +9,10 @@ without which cosines of different licences are too close. A file without a head
 licence text's, then that of the nearest directory above it, its own first, that has a licence file.
 
 A word's weight is (1 + ln n) ln(1 + N / df), n its count in the unit, over all N texts; words that
-no template has weigh (1 + ln n) ln(1 + N). Two bounds, both by Cauchy and Schwarz, save expanding
-every text to words and lose nothing. What a template weighs without its heaviest words is below
-HEADER, so that a unit without any of these cannot reach it. And a text that reaches WHOLE holds so
-many of a licence's heavier words at least. Templates are fixed and small, so they are broadcast.
+no template has weigh (1 + ln n) ln(1 + N). Two tests save
+expanding every text to words and lose nothing. A unit without the rarest mark of any notice has no
+notice's marks. And a text that reaches WHOLE holds so many of a licence's heavier words at least,
+by Cauchy and Schwarz. Templates are fixed and small, so they are broadcast.
 
 Among several licence files of a directory the one with the largest cosine counts, then the least
 path; among templates of equal cosine the least name. Defined cases: a null text has no header, a
@@ -47,7 +47,7 @@ NOTICES = [
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License.", "bsd 3"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "bsd style governed"),
     ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0.", "boost 1"),
-    ("CC-BY-4.0", "Licensed under the Creative Commons Attribution License CC BY 4.0.", "by 4"),
+    ("CC-BY-4.0", "Licensed under the Creative Commons Attribution License CC BY 4.0.", "creative commons 4"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by nc 4"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "cc by sa 4"),
@@ -58,13 +58,13 @@ NOTICES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public 3"),
     ("GPL-3.0", "GNU General Public License, version 3", "gnu general public 3"),
     ("GPL-3.0", "This program " + GNU.format("General Public", 3), "gnu general public 3"),
-    ("ISC", "Licensed under the ISC License.", "isc"),
+    ("ISC", "Licensed under the ISC License.", "isc license"),
     ("LGPL-2.1", "GNU Lesser General Public License, version 2.1", "lesser 2 1"),
     ("LGPL-2.1", "This library " + GNU.format("Lesser General Public", 2.1), "lesser 2 1"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", "lesser 3"),
     ("LGPL-3.0", "This library " + GNU.format("Lesser General Public", 3), "lesser 3"),
-    ("MIT", "Released under the MIT License.", "mit"),
-    ("MIT", "Licensed under the MIT License.", "mit"),
+    ("MIT", "Released under the MIT License.", "mit license"),
+    ("MIT", "Licensed under the MIT License.", "mit license"),
     ("MIT", "The MIT License (MIT)", "mit license"),
     (
         "MIT",
@@ -75,14 +75,17 @@ NOTICES = [
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, version 2.0.", "mozilla 2"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mozilla 2"),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
-    ("Zlib", "Licensed under the zlib License.", "zlib"),
+    ("Zlib", "Licensed under the zlib License.", "zlib license"),
 ]
 #: The short names that identifiers and plain statements use.
 NAMES = "Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0 MIT MPL-2.0 Unlicense Zlib".split()
 for _name in NAMES:
-    NOTICES += [(_name, form.format(_name), " ".join([mark, *re.findall("[0-9a-z]+", _name.lower())]).strip()) for form, mark in (("SPDX-License-Identifier: {}", "spdx"), ("License: {}", "license"), ("{}", ""))]
+    _marks = " ".join(re.findall("[0-9a-z]+", _name.lower()))
+    NOTICES += [(_name, f"SPDX-License-Identifier: {_name}", f"spdx {_marks}"), (_name, f"License: {_name}", f"license {_marks}")]
+    if " " in _marks:  # a single word says too little
+        NOTICES.append((_name, _name, _marks))
     if "GPL" in _name:
-        NOTICES += [(_name, f"SPDX-License-Identifier: {_name}-{more}", " ".join(["spdx", *re.findall("[0-9a-z]+", _name.lower())])) for more in ("only", "or-later")]
+        NOTICES += [(_name, f"SPDX-License-Identifier: {_name}-{more}", f"spdx {_marks}") for more in ("only", "or-later")]
 #: What separates words: all but ASCII letters, digits and other letters; and what paragraphs.
 BREAK = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 PARAGRAPH = r"\n[ \t\r/*#;%!-]*\n"
@@ -113,18 +116,9 @@ def _weights(words: dict[str, int], idf: dict[str, float]) -> dict[str, float]:
     return dict(sorted(((w, x / norm) for w, x in raw.items()), key=lambda x: (-x[1], x[0])))
 
 
-def leading(vectors: list[dict[str, float]], cosine: float) -> set[str]:
-    """Words without any of which no unit reaches the cosine with a vector: of each vector the
-    heaviest, until the rest weighs less than that."""
-    out = set()
-    for vector in vectors:
-        rest = 1.0
-        for word, x in vector.items():
-            if rest < (cosine - 1e-6) ** 2:
-                break
-            out.add(word)
-            rest -= x * x
-    return out
+def rarest_marks(df: dict[str, int]) -> set[str]:
+    """The rarest mark of each notice."""
+    return {min(marks, key=lambda w: (df.get(w, 0), w)) for _, whole, _, marks in templates() if not whole}
 
 
 def required(vectors: list[dict[str, float]], cosine: float, share: float = 0.8) -> tuple[set[str], int]:
@@ -183,9 +177,8 @@ def scan(files: DataFrame, key_col="key", path_col="path", text_col="text") -> D
     rows = [(i, name, whole, len(marks), w, x, int(w in marks)) for i, ((name, whole, _, marks), vector) in enumerate(zip(templates(), vectors)) for w, x in vector.items()]
     vector_table = spark.createDataFrame(rows, "template int, license string, whole boolean, marks int, word string, unit double, mark int")
 
-    notices = [v for (_, whole, _, _), v in zip(templates(), vectors) if not whole]
     texts = [v for (_, whole, _, _), v in zip(templates(), vectors) if whole]
-    leads = F.array(*map(F.lit, sorted(leading(notices, HEADER))))
+    leads = F.array(*map(F.lit, sorted(rarest_marks(df))))
     heavy, n = required(texts, WHOLE)
     heavy = F.array(*map(F.lit, sorted(heavy)))
     # one look at the words of a text; equal texts under one key and path are one file

@@ -132,12 +132,11 @@ def test_licences_told_apart(spark):
 
 
 def test_bounds_lose_nothing():
-    """No unit without a leading word, and no text without enough heavy ones, can reach a threshold."""
+    """No text without enough heavy words can reach the threshold, no unit without a mark a notice's."""
     idf = {w: 1.0 + len(w) for _, _, own, _ in lc.templates() for w in own}
-    vectors = [lc._weights(own, idf) for _, _, own, _ in lc.templates()]
-    leads = lc.leading(vectors, 0.6)
-    for v in vectors:
-        assert math.sqrt(sum(x * x for w, x in v.items() if w not in leads)) < 0.6
+    rare = lc.rarest_marks({"license": 5, "mit": 9, "2": 100})
+    assert all(marks & rare and marks <= own.keys() for _, whole, own, marks in lc.templates() if not whole) and "mit" not in rare
+    vectors = [lc._weights(own, idf) for _, whole, own, _ in lc.templates() if whole]
     heavy, n = lc.required(vectors, 0.7)
     for v in vectors:  # the best that n - 1 heavy words and all others can give
         best = sorted((x * x for w, x in v.items() if w in heavy), reverse=True)[: n - 1]
