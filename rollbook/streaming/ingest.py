@@ -18,7 +18,11 @@ TERMINAL = ("complete", "downloaded", "metadata_only")
 
 
 def shared(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='rollbook-')}"
+    """The folder that all executors share; a temporary one only where all of it is one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return named or f"file://{tempfile.mkdtemp(prefix='rollbook-')}"
 
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
