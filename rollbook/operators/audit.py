@@ -90,12 +90,11 @@ def repeated_pages(rows: DataFrame, page: str, key: str, series: list[str] = ())
     return sets.withColumn("repeated", F.coalesce(F.lag("_ids").over(w) == F.col("_ids"), F.lit(False))).drop("_ids")
 
 
-def bleed(rows: DataFrame, key: str, text: str, subject: str) -> DataFrame:
-    """Rows whose last line is another row's subject."""
+def bleed(rows: DataFrame, key: str, text: str, subject: str, series: list[str], order: str) -> DataFrame:
+    """Rows whose last line is the subject of the next row of their series."""
     last = F.trim(F.element_at(F.split(F.trim(F.col(text)), "\n"), -1))
-    subjects = rows.select(F.trim(subject).alias("_subject")).where("_subject != ''").distinct()
-    tagged = rows.withColumn("_subject", last).where(F.col("_subject") != F.coalesce(F.trim(subject), F.lit("")))
-    return tagged.join(subjects, "_subject", "left_semi").drop("_subject")
+    following = F.trim(F.lead(subject).over(Window.partitionBy(*series).orderBy(order)))
+    return rows.withColumn("_last", last).withColumn("_next", following).where("_next != '' AND _last = _next").drop("_last", "_next")
 
 
 def parse_status(bleeds: Column, stated: Column, parsed: Column) -> Column:

@@ -59,13 +59,6 @@ def f12_repeated_pages(spark, sf):
     return audit.repeated_pages(events, "page", "user_id")
 
 
-@query("""WITH t AS (SELECT conv_id || '|' || turn AS key, regexp_extract(trim(text), '([^\n]*)$', 1) AS last, trim(split_part(text, chr(10), 1)) AS subject FROM conversations)
-SELECT key FROM t WHERE trim(last) IN (SELECT subject FROM t WHERE subject != '') AND trim(last) != subject""")
-def f7_bleed(spark, sf):
-    turns = table(spark, sf, "conversations").select(F.concat_ws("|", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "text", F.trim(F.split("text", "\n")[0]).alias("subject"))
-    return audit.bleed(turns, "key", "text", "subject").select("key")
-
-
 @query("""WITH a AS (SELECT DISTINCT doc_id FROM documents), b AS (SELECT DISTINCT doc_id FROM labels), f AS (SELECT a.doc_id AS a, b.doc_id AS b FROM a FULL JOIN b ON a.doc_id = b.doc_id)
 SELECT count(a) AS known, count(b) AS got, count(*) FILTER (WHERE a IS NULL) AS new, round(CAST(count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS DOUBLE) / count(a), 6) AS recall, count(*) FILTER (WHERE a IS NULL) = 0 AS saturated FROM f""")
 def h1_saturation(spark, sf):

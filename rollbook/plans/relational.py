@@ -35,12 +35,6 @@ def c6_aliased_union(spark, sf):
     return rel.bundle(customer=a, supplier=b).groupBy(F.col("family").alias("kind"), "nationkey").agg(F.count("*").alias("n"), F.count("segment").alias("segments"))
 
 
-@query("SELECT * FROM (VALUES (0, 'jobs', 'vacancy'), (1, 'jobs', 'posts'), (2, 'money', 'spend')) AS v(position, \"group\", query)")
-def c11_search_plan(spark, sf):
-    profile = spark.sql("SELECT map('jobs', array('vacancy', 'posts'), 'money', array('spend', 'grant')) AS groups")
-    return rel.search_plan(profile, 3)
-
-
 @query("""SELECT p_type, CASE WHEN regexp_matches(p_name, '(?i)ring') THEN 'ring' WHEN regexp_matches(p_name, '(?i)widget|bolt') THEN 'part' ELSE 'other' END AS class, count(*) AS n FROM part GROUP BY 1, 2""")
 def c12_class_ladder(spark, sf):
     part = table(spark, sf, "part")
@@ -117,34 +111,6 @@ def d13_new_or_changed(spark, sf):
     return rel.unseen(docs, seen, ["doc_id", "fingerprint"])
 
 
-@query("""WITH v AS (SELECT lower(replace(n_name, '_', '')) AS k, CAST(n_nationkey AS VARCHAR) AS code, CAST(n_regionkey AS VARCHAR) AS state FROM nation UNION ALL SELECT 'nation1', '77', '0'),
-q AS (SELECT * FROM (VALUES (1, 'nation4', NULL), (2, 'nation1', NULL), (3, 'nowhere', NULL), (4, 'nation5', '99'), (5, 'natn6', NULL)) AS t(label_id, k, wanted)),
-a AS (SELECT 'natn6' AS alias_key, 'nation6' AS k),
-h AS (SELECT q.label_id, count(DISTINCT v.code) AS everything, count(DISTINCT CASE WHEN q.wanted IS NULL OR q.wanted = v.state THEN v.code END) AS n, min(CASE WHEN q.wanted IS NULL OR q.wanted = v.state THEN v.code END) AS code
-  FROM q LEFT JOIN a ON a.alias_key = q.k JOIN v ON v.k = coalesce(a.k, q.k) GROUP BY 1)
-SELECT q.label_id, CASE WHEN n = 1 THEN 'resolved' WHEN n > 1 THEN 'ambiguous' WHEN everything > 0 THEN 'state_mismatch' ELSE 'unresolved' END AS status, CASE WHEN n = 1 THEN code END AS code FROM q LEFT JOIN h USING (label_id)""")
-def d14_district_resolve(spark, sf):
-    nation = table(spark, sf, "nation")
-    sources = nation.select(F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("label"), F.col("n_regionkey").cast("string").alias("state"), F.lit("exact").alias("quality"), F.lit(0).alias("priority"))
-    extra = spark.createDataFrame([("77", "Nation 1", "0", "strong", 1), ("78", "Nation 2", "0", "weak", 1)], sources.schema)
-    variants = resolve.label_index(sources.unionByName(extra.where("code = '78'"))).unionByName(resolve.label_index(extra))
-    labels = spark.createDataFrame([(1, "NATION 4", None), (2, "Nátion-1", None), (3, "nowhere", None), (4, "nation_5", "99"), (5, "Natn 6", None)], "label_id int, label string, state string")
-    aliases = spark.createDataFrame([("natn6", "nation6")], "alias_key string, variant_key string")
-    return resolve.resolve_labels(labels, variants, aliases)
-
-
-@query("""SELECT s.s_suppkey AS query_id, CASE WHEN p.n IS NULL THEN 'unknown' WHEN p.n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN p.n = 1 THEN p.only END AS entity_id, coalesce(p.n, 0) AS candidates
-FROM supplier s LEFT JOIN (SELECT c_nationkey AS k, count(*) AS n, CAST(min(c_custkey) AS VARCHAR) AS only FROM customer WHERE c_custkey < 40 GROUP BY 1) p ON p.k = s.s_nationkey""")
-def d18_name_resolution(spark, sf):
-    """Suppliers look for a person named after their nation among the first customers."""
-    customer = table(spark, sf, "customer").where("c_custkey < 40")
-    people = customer.select(F.col("c_custkey").cast("string").alias("entity_id"), F.concat(F.lit("Shri Person, N"), F.col("c_nationkey").cast("string")).alias("canonical_name"), F.array().cast("array<string>").alias("alt_names"))
-    none = F.lit(None).cast("string")
-    members = people.select("entity_id", none.alias("house"), none.alias("party"), none.alias("party_name"), none.alias("state"))
-    asked = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("N"), F.col("s_nationkey").cast("string"), F.lit(" PERSON")).alias("name"), none.alias("house"), none.alias("party"), none.alias("state"))
-    return resolve.resolve_names(asked, people, members)
-
-
 @query("""SELECT d.lang, count(*) AS documents, count(l.doc_id) AS labelled, min(d.n_chars) AS shortest, max(d.n_chars) AS longest, round(CAST(count(l.doc_id) AS DOUBLE) / count(*), 3) AS coverage
 FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.lang""")
 def e1_corpus_stats(spark, sf):

@@ -51,28 +51,6 @@ def k1_names(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", names.normal_member(F.concat(F.lit("Shri "), name)).alias("member"), names.normal_person(F.concat(F.regexp_replace(name, " ", ", Dr. "), F.lit(""))).alias("person"), names.slug(F.col("c_name")).alias("slug"))
 
 
-@query("SELECT * FROM (VALUES ('three hundred and sixty sixth', 366), ('twenty-first', 21), ('hundred', 100), ('two thousand twelve', 2012), ('zero', NULL), ('some words', NULL), ('ninetieth', 90), ('fourth', 4)) AS v(phrase, n)")
-def k5_number_words(spark, sf):
-    rows = [("three hundred and sixty sixth",), ("twenty-first",), ("hundred",), ("two thousand twelve",), ("zero",), ("some words",), ("ninetieth",), ("fourth",)]
-    return spark.createDataFrame(rows, "phrase string").select("phrase", names.words_to_int(F.col("phrase")).alias("n"))
-
-
-@query("SELECT * FROM (VALUES ('Action taken on the recommendations contained in the 12th Report', 12), ('contained in the three hundred and second report on coal', 302), ('Report No. 44 of the committee', 44), ('Fifty', NULL), ('The 9th Report reviewed', 9)) AS v(title, n)")
-def k6_referenced_report(spark, sf):
-    rows = [("Action taken on the recommendations contained in the 12th Report",), ("contained in the three hundred and second report on coal",), ("Report No. 44 of the committee",), ("Fifty",), ("The 9th Report reviewed",)]
-    return spark.createDataFrame(rows, "title string").select("title", names.referenced_number(F.col("title")).alias("n"))
-
-
-@query("SELECT * FROM (VALUES ('553.0', '553'), ('\"007\"', '7'), ('0', NULL), ('', NULL), ('x1', NULL)) AS v(raw, code)")
-def k8_district_code(spark, sf):
-    return spark.createDataFrame([("553.0",), ('"007"',), ("0",), ("",), ("x1",)], "raw string").select("raw", names.district_code(F.col("raw")).alias("code"))
-
-
-@query("SELECT * FROM (VALUES ('1-3,7', '1,2,3,7'), ('5', '5'), ('2-2, 1', '1,2')) AS v(raw, numbers)")
-def k16_sessions(spark, sf):
-    return spark.createDataFrame([("1-3,7",), ("5",), ("2-2, 1",)], "raw string").select("raw", F.array_join(F.transform(names.sessions(F.col("raw")), lambda x: x.cast("string")), ",").alias("numbers"))
-
-
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def l1_integers(spark, sf):
     return table(spark, sf, "events").select("event_id", F.get(numbers.integers(F.col("props")), F.lit(0)).alias("k"))
@@ -89,12 +67,6 @@ def l2_rupees(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", numbers.scaled(F.col("l_quantity"), scale).cast("double").alias("rupees"))
 
 
-@query("SELECT * FROM (VALUES ('12', 12, NULL, NULL), ('12.0', 12, NULL, NULL), ('Rampur(67 km)', 0, 'Rampur', 67.0), ('', NULL, NULL, NULL), ('a few', NULL, NULL, NULL)) AS v(raw, n, place, km)")
-def l6_facility(spark, sf):
-    rows = spark.createDataFrame([("12",), ("12.0",), ("Rampur(67 km)",), ("",), ("a few",)], "raw string")
-    return rows.select("raw", numbers.facility(F.col("raw")).alias("f")).select("raw", "f.*")
-
-
 @query("""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) <= 60 THEN t ELSE regexp_replace(substr(t, 1, 60), ' [^ ]*$', '') || '...' END AS excerpt FROM t""")
 def l19_excerpt(spark, sf):

@@ -28,4 +28,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["d6_answered_questions"](spark, sf_dir)
 
 
-from rollbook.plans import audits, relational, scalars, sections, streams  # noqa: E402, F401
+from rollbook.plans import audits, fields, relational, scalars, sections, streams, tables  # noqa: E402, F401
