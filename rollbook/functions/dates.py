@@ -131,3 +131,44 @@ def deadline(text, as_of: int) -> Column:
 def deadline_iso(raw) -> Column:
     bare = F.regexp_replace(F.trim(raw), r"\.$", "")
     return F.date_format(first_of(bare, "MMMM d, yyyy", "MMM d, yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy"), "yyyy-MM-dd")
+
+
+def months(first_year, first_month, last_year, last_month) -> Column:
+    """array(struct(year, month)) from one month to another, both among them."""
+    run = F.sequence(F.make_date(first_year, first_month, F.lit(1)), F.make_date(last_year, last_month, F.lit(1)), F.expr("interval 1 month"))
+    return F.transform(run, lambda d: F.struct(F.year(d).alias("year"), F.month(d).alias("month")))
+
+
+#: A date as advertisements print it, and the words before one that tell its role.
+PRINTED = r"(?i)(\d{1,2})[\s.\-/](Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|[0-1]?\d)[\s.\-/](20\d{2})"
+CLOSING = r"(?i)(last|closing|deadline|apply\s*by)\s*(date)?"
+PUBLISHED = r"(?i)(advertise|publish|issued|dated)"
+_MONTH_NAMES = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def _printed_iso(raw: Column) -> Column:
+    day, month, year = (F.regexp_extract(raw, PRINTED, i) for i in (1, 2, 3))
+    number = F.coalesce(month.try_cast("int"), F.nullif(F.array_position(F.array(*map(F.lit, _MONTH_NAMES)), F.lower(month)).cast("int"), F.lit(0)))
+    fits = number.between(1, 12) & day.try_cast("int").between(1, 31) & year.try_cast("int").between(2015, 2035)
+    return F.when(fits, F.concat_ws("-", year, F.lpad(number.cast("string"), 2, "0"), F.lpad(day, 2, "0")))
+
+
+def dates_by_context(text) -> Column:
+    """struct(published, closing): the first date each that a word of its role stands before, within
+    60 characters; a lone date closes."""
+    found, between = F.regexp_extract_all(text, F.lit(PRINTED), F.lit(0)), F.split(text, PRINTED, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<said:string,iso:string>>").alias("out"))
+
+    def step(s, x):
+        here = s.at + F.length(x.before)
+        said = F.substring(text, F.greatest(here - 59, F.lit(1)), F.least(here, F.lit(60)))
+        return F.struct((here + F.length(x.raw)).alias("at"), F.concat(s.out, F.array(F.struct(said.alias("said"), _printed_iso(x.raw).alias("iso")))).alias("out"))
+
+    pairs = F.transform(found, lambda raw, i: F.struct(F.get(between, i).alias("before"), raw.alias("raw")))
+    known = F.filter(F.aggregate(pairs, start, step, lambda s: s.out), lambda x: x.iso.isNotNull())
+    closes = lambda x: x.said.rlike(CLOSING)
+    lone = F.when(F.size(found) == 1, _printed_iso(F.get(found, F.lit(0))))
+    return F.struct(
+        F.get(F.filter(known, lambda x: ~closes(x) & x.said.rlike(PUBLISHED)), F.lit(0)).iso.alias("published"),
+        F.coalesce(F.get(F.filter(known, closes), F.lit(0)).iso, lone).alias("closing"),
+    )

@@ -138,3 +138,19 @@ def redact(props) -> Column:
     """A map<string, string> whose secret values are masked, by parts of their keys."""
     secret = r"(?i)key|token|secret|password|passwd|auth|cookie"
     return F.transform_values(props, lambda k, v: F.when(k.rlike(secret), F.lit("[redacted]")).otherwise(v))
+
+
+def encoded_path(url) -> Column:
+    """The URL with unsafe characters of its path and query percent-encoded; what is encoded stays."""
+    parts = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+    def quoted(text, safe):
+        each = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+        return F.array_join(F.transform(each, lambda c: F.when(c.rlike(f"[A-Za-z0-9_.~{safe}-]"), c).when(c == "*", "%2A").otherwise(F.replace(F.url_encode(c), F.lit("+"), F.lit("%20")))), "")
+
+    root, path, asked, mark = (F.regexp_extract(url, parts, i) for i in (1, 2, 3, 4))
+    return F.concat(root, quoted(path, "/%+"), quoted(asked, "?=&%+"), mark)
+
+
+def topic_hash(content) -> Column:
+    return F.concat(F.lit("sha256:"), F.sha2(content, 256))

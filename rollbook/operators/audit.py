@@ -131,3 +131,19 @@ def recheck(now: DataFrame, archive: DataFrame, key: str) -> DataFrame:
     out = now.join(latest, key, "left")
     reason = F.when(F.col("digest").isNull(), "no_digest").when(F.col("archived_digest").isNull(), "never_archived")
     return out.withColumn("changed", F.when(reason.isNull(), F.col("digest") != F.col("archived_digest"))).withColumn("reason", reason)
+
+
+def named(offered: Column) -> Column:
+    """Different names that are not blank, in order."""
+    return F.array_distinct(F.filter(F.transform(offered, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def sample_ids(ids: Column, most: int = 50) -> Column:
+    """The first different ids in order, for a report."""
+    return F.slice(F.array_sort(F.collect_set(ids.cast("string"))), 1, most)
+
+
+def collected(units: DataFrame, unit: str, value: Column, error: Column) -> DataFrame:
+    """One row: values, failed (units), partial, and the first failed units in order."""
+    out = units.agg(F.count_if(error.isNull() & value.isNotNull()).alias("values"), F.count_if(error.isNotNull()).alias("failed"), sample_ids(F.when(error.isNotNull(), F.col(unit))).alias("failed_units"))
+    return out.withColumn("partial", F.col("failed") > 0)

@@ -118,3 +118,35 @@ def merge_entities(rows: DataFrame) -> DataFrame:
     """One row for each entity_id: its first canonical name and all other names, sorted."""
     names = rows.groupBy("entity_id").agg(F.min_by("canonical_name", "first_seen_at").alias("canonical_name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_append("alt_names", F.col("canonical_name")))))).alias("alt_names"), F.min("first_seen_at").alias("first_seen_at"), F.max("last_updated_at").alias("last_updated_at"))
     return names.withColumn("alt_names", F.array_except("alt_names", F.array("canonical_name")))
+
+
+def topic_filter(rows: DataFrame, before: Column, after: Column) -> DataFrame:
+    """The rows with `kept`: a predicate on titles comes before one on whole records, and what
+    either leaves out is no match."""
+    title = F.coalesce(before, F.lit(False))
+    return rows.withColumn("kept", F.when(title, F.coalesce(after, F.lit(False))).otherwise(False))
+
+
+def of_type(rows: DataFrame, column: str, wanted: str) -> DataFrame:
+    return rows.where(F.lower(F.trim(column)) == wanted.strip().lower())
+
+
+def braked(rows: DataFrame, order: list, most: int) -> DataFrame:
+    """The first `most` rows in a stated order."""
+    return rows.orderBy(*order).limit(most)
+
+
+def united(queries: list[DataFrame], key: list[str]) -> DataFrame:
+    """The results of several queries, each key once, from the first query that has it."""
+    out = None
+    for i, rows in enumerate(queries):
+        rows = rows.withColumn("_query", F.lit(i))
+        out = rows if out is None else out.unionByName(rows)
+    return first_row(out, key, ["_query"]).drop("_query")
+
+
+def year_over_year(spend: DataFrame, company: str) -> DataFrame:
+    """financial_year, amount and the change since the year before, of one company."""
+    years = spend.where(F.col("company") == company).groupBy("financial_year").agg(F.sum(F.col("amount").cast("decimal(20,4)")).alias("amount"))
+    change = F.col("amount") - F.lag("amount").over(Window.orderBy("financial_year"))  # a row for each year
+    return years.select("financial_year", F.col("amount").cast("double").alias("amount"), change.cast("double").alias("change"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollbook.functions import names, text
+from rollbook.functions import dates, names, web
+from rollbook.functions.numbers import increasing
 from rollbook.operators import audit, listings, lists, pages, resolve, segments
 from rollbook.operators import relational as rel
 from rollbook.registry import query, table
@@ -383,3 +384,137 @@ def c11_search_plan(spark, sf):
     sizes = table(spark, sf, "part").select("p_size").distinct()
     groups = F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("p_size", F.array(F.concat(F.lit("a"), size), F.concat(F.lit("b"), size)).alias("q")))), lambda x: F.struct(x.p_size.cast("string"), x.q)))
     return rel.search_plan(sizes.agg(groups.alias("groups"))).select(F.col("position").cast("long").alias("position"), "query")
+
+
+# ---- filters, names and reports ----
+
+
+@query("SELECT CASE WHEN o_orderstatus = 'F' THEN o_custkey % 2 = 0 ELSE false END AS kept, count(*) AS n FROM orders GROUP BY 1")
+def c7_topic_filter(spark, sf):
+    rows = rel.topic_filter(table(spark, sf, "orders"), F.col("o_orderstatus") == "F", F.col("o_custkey") % 2 == 0)
+    return rows.groupBy("kept").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM events WHERE event_type = 'click'")
+def c8_question_type(spark, sf):
+    rows = table(spark, sf, "events").select(F.concat(F.lit(" "), F.upper("event_type")).alias("t"))
+    return rel.of_type(rows, "t", "Click ").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'rejected' WHEN c_custkey % 5 = 1 THEN 'without_code' WHEN c_custkey % 5 = 2 THEN 'absent_code' WHEN c_custkey % 5 = 3 THEN 'contradicting' ELSE 'merged' END AS verdict FROM customer) GROUP BY 1""")
+def d16_crosswalk(spark, sf):
+    nation = table(spark, sf, "nation")
+    index = resolve.label_index(nation.select(_s("n_nationkey").alias("code"), F.col("n_name").alias("label"), F.lit("0").alias("state"), F.lit("exact").alias("quality"), F.lit(0).alias("priority")))
+    kind, n = F.col("c_custkey") % 5, _s("c_nationkey")
+    rows = table(spark, sf, "customer").select(
+        F.col("c_name").alias("label"),
+        F.when(kind == 2, F.concat(F.lit("x"), n)).when(kind != 1, n).alias("code"),
+        F.when(kind == 3, "Elsewhere").otherwise(F.concat(F.lit("Nation "), n)).alias("name"),
+        F.when(kind == 0, "weak").otherwise(" Exact").alias("quality"),
+    )
+    return resolve.crosswalk(rows, index).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey AS query_id, count(c_custkey) AS n, CAST(min(c_custkey) AS VARCHAR) AS least_id FROM supplier LEFT JOIN customer ON c_nationkey = s_nationkey AND c_custkey % 2 = 0 GROUP BY 1")
+def d23_find_by_name(spark, sf):
+    """People bear their nation's name if their number is even, another's else."""
+    name = F.concat(F.lit("Person N"), F.when(F.col("c_custkey") % 2 == 0, _s("c_nationkey")).otherwise("one"))
+    people = table(spark, sf, "customer").select(_s("c_custkey").alias("entity_id"), F.lit("Somebody").alias("canonical_name"), F.array(name).alias("alt_names"))
+    asked = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("n"), _s("s_nationkey"), F.lit(", Shri Person")).alias("name"))
+    out = resolve.find_by_name(asked, people)
+    return out.select("query_id", F.size("entity_ids").cast("long").alias("n"), F.array_min(F.transform("entity_ids", lambda x: x.cast("long"))).cast("string").alias("least_id"))
+
+
+@query("SELECT 2 * count(*) AS askers, count(*) + count(*) FILTER (WHERE o_custkey % 4 = 0) AS resolved, round_even(CAST(count(*) + count(*) FILTER (WHERE o_custkey % 4 = 0) AS DOUBLE) / (2 * count(*)), 3) AS rate FROM orders")
+def e3_resolution_rate(spark, sf):
+    rows = table(spark, sf, "orders").select(F.array("o_orderstatus", "o_orderpriority").alias("askers"), F.array(_s("o_custkey"), F.when(F.col("o_custkey") % 4 == 0, "x")).alias("ids"))
+    return resolve.resolution_rate(rows, "askers", "ids")
+
+
+@query("""WITH y AS (SELECT 'FY' || year(o_orderdate) AS financial_year, sum(CAST(o_totalprice AS DECIMAL(20,4))) AS amount FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
+SELECT financial_year, CAST(amount AS DOUBLE) AS amount, CAST(amount - lag(amount) OVER (ORDER BY financial_year) AS DOUBLE) AS change FROM y""")
+def e6_year_over_year(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("company"), F.concat(F.lit("FY"), F.year("o_orderdate").cast("string")).alias("financial_year"), F.col("o_totalprice").alias("amount"))
+    return rel.year_over_year(rows, "1-URGENT")
+
+
+@query("SELECT DISTINCT user_id, m AS accepted FROM (SELECT user_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS m FROM events)")
+def f10_increasing(spark, sf):
+    """Of each user's values in order those that exceed all before them."""
+    values = table(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x.value).alias("v"))
+    return values.select("user_id", F.explode(increasing(F.col("v"))).alias("accepted"))
+
+
+@query("SELECT event_id FROM events ORDER BY value DESC, event_id LIMIT 100")
+def g1_brake(spark, sf):
+    return rel.braked(table(spark, sf, "events"), [F.desc("value"), "event_id"], 100).select("event_id")
+
+
+@query("SELECT c_nationkey, CAST(c_custkey AS VARCHAR) AS entity_id, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, CAST(c_custkey AS VARCHAR)) AS INTEGER) AS rank FROM customer")
+def g3_ranked(spark, sf):
+    rows = table(spark, sf, "customer").select("c_nationkey", _s("c_custkey").alias("entity_id"), F.col("c_acctbal").alias("score"))
+    return resolve.ranked(rows, "c_nationkey", "score").select("c_nationkey", "entity_id", "rank")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_name || ' of ' || c_mktsegment END AS line FROM customer")
+def g7_best_line(spark, sf):
+    """A garbled subject among lines; for every third there is none like it."""
+    text_ = _line("a\nsome words about roads\n ", F.when(F.col("c_custkey") % 3 > 0, F.concat("c_name", F.lit(" of "), "c_mktsegment")).otherwise("~~~~~~~"), " \nand more")
+    rows = table(spark, sf, "customer").select("c_custkey", F.concat(F.translate("c_name", "o", "0"), F.lit(" 0f "), "c_mktsegment").alias("r"), text_.alias("t"))
+    return segments.best_line(rows, "c_custkey", "r", "t")
+
+
+@query("SELECT event_type, array_to_string(list_sort(list(DISTINCT CAST(user_id AS VARCHAR)))[1:50], ',') AS ids FROM events GROUP BY 1")
+def g8_sampled_ids(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.array_join(audit.sample_ids(F.col("user_id")), ",").alias("ids"))
+
+
+@query("SELECT o_orderkey, o_orderpriority || CASE WHEN o_orderstatus != o_orderpriority THEN ',' || o_orderstatus ELSE '' END AS names FROM orders")
+def h3_named(spark, sf):
+    offered = F.array(F.concat(F.lit(" "), "o_orderpriority"), F.lit("  "), "o_orderstatus", F.concat("o_orderpriority", F.lit(" ")))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(audit.named(offered), ",").alias("names"))
+
+
+@query("SELECT count(*) FILTER (WHERE event_type != 'error') AS \"values\", count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'error') > 0 AS partial FROM events")
+def h7_collected(spark, sf):
+    out = audit.collected(table(spark, sf, "events"), "event_id", F.col("value"), F.when(F.col("event_type") == "error", "failed"))
+    return out.select("values", "failed", "partial")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 0 ELSE 1 END AS q FROM events WHERE event_type = 'click' OR value > 50")
+def h10_united(spark, sf):
+    events = table(spark, sf, "events")
+    return rel.united([events.where("event_type = 'click'").select("event_id", F.lit(0).alias("q")), events.where("value > 50").select("event_id", F.lit(1).alias("q"))], ["event_id"])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '2020-03-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') END AS published, CASE WHEN p_partkey % 3 < 2 THEN '2021-04-' || lpad(CAST(p_size % 28 + 1 AS VARCHAR), 2, '0') END AS closing FROM part""")
+def j8_dates_by_context(spark, sf):
+    day, kind = (F.col("p_size") % 28 + 1).cast("string"), F.col("p_partkey") % 3
+    both = _line("Advertisement No. 4 dated ", day, ".3.2020, in all so many posts for a year and a day and more than that. Last date: ", day, " Apr 2021")
+    said = F.when(kind == 0, both).when(kind == 1, _line("to reach us by ", day, "-04-2021")).otherwise(_line("on ", day, "-04-2021 and ", day, "/13/2021"))
+    return table(spark, sf, "part").select("p_partkey", dates.dates_by_context(said).alias("d")).select("p_partkey", "d.*")
+
+
+@query("SELECT o_orderkey, CAST(year(m) AS INTEGER) AS year, CAST(month(m) AS INTEGER) AS month FROM (SELECT o_orderkey, unnest(generate_series(date_trunc('month', o_orderdate), date_trunc('month', o_orderdate) + INTERVAL 3 MONTH, INTERVAL 1 MONTH)) AS m FROM orders)")
+def j12_months(spark, sf):
+    last = F.add_months("o_orderdate", 3)
+    run = dates.months(F.year("o_orderdate"), F.month("o_orderdate"), F.year(last), F.month(last))
+    return table(spark, sf, "orders").select("o_orderkey", F.explode(run).alias("m")).select("o_orderkey", "m.*")
+
+
+@query("SELECT c_custkey AS ref_id, CASE c_custkey % 3 WHEN 2 THEN NULL ELSE c_nationkey END AS code FROM customer")
+def k15_states(spark, sf):
+    states = table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name"))
+    ref = F.when(F.col("c_custkey") % 3 == 0, _s("c_nationkey")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" Nation_"), _s("c_nationkey"))).otherwise("nowhere")
+    return resolve.resolve_state(table(spark, sf, "customer").select(F.col("c_custkey").alias("ref_id"), ref.alias("ref")), states)
+
+
+@query("SELECT c_custkey, 'https://x.org/a%20b/Customer%23' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '/%C3%A9?q=' || c_mktsegment || '%20%2A#top' AS url FROM customer")
+def n5_encoded_paths(spark, sf):
+    raw = _line("https://x.org/a b/", F.replace("c_name", F.lit("#"), F.lit("%23")), "/é?q=", F.col("c_mktsegment"), " *#top")
+    return table(spark, sf, "customer").select("c_custkey", web.encoded_path(web.encoded_path(raw)).alias("url"))
+
+
+@query("SELECT doc_id, 'sha256:' || sha256(text) AS hash FROM documents")
+def n8_topic_hashes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", web.topic_hash(F.encode("text", "utf-8")).alias("hash"))
