@@ -243,3 +243,8 @@ def question_query(query, types, low=None, high=None, sort=None) -> Column:
 def transliterate_digits(text) -> Column:
     """Gujarati digits to ASCII."""
     return F.translate(text, "".join(chr(0x0AE6 + i) for i in range(10)), "0123456789")
+
+
+def gujarati(text) -> Column:
+    """Digits in ASCII, and a doubled long-a sign (no word has one) as a single one."""
+    return F.regexp_replace(transliterate_digits(text), "\u0abe{2,}", "\u0abe")

@@ -73,6 +73,17 @@ def assert_finds(rows: DataFrame, control: Column, what: str) -> DataFrame:
     return rows
 
 
+def catalogue_floor(rows: DataFrame, label: str, least: int) -> DataFrame:
+    """The rows of a catalogue, unless there are fewer than `least` or a label occurs twice: a short
+    answer is a changed source, and a repeated label would lose a row. A null label is one label."""
+    told = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.min(F.when(F.col("n") > 1, F.coalesce(F.col(label).cast("string"), F.lit("null")))).alias("twice")).first()
+    if (told["rows"] or 0) < least:
+        raise ValueError(f"{told['rows'] or 0} rows, fewer than {least}")
+    if told["twice"] is not None:
+        raise ValueError(f"label occurs twice: {told['twice']}")
+    return rows
+
+
 def declared(rows: DataFrame, unit: list[str], total: Column, repeated: Column | None = None) -> DataFrame:
     """yielded and complete of each unit: enough for the declared total; unknown when undeclared;
     False where a page was repeated, declared or not."""

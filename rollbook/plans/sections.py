@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollbook.functions import text
-from rollbook.operators import pages
+from rollbook.operators import layout, pages
 from rollbook.registry import query, table
 
 
@@ -44,3 +44,29 @@ def n9_similarity(spark, sf):
 @query("SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href=[\"'']([^\"'']+)[\"'']')) FROM pages) GROUP BY 1")
 def m13_link_counts(spark, sf):
     return pages.links(table(spark, sf, "pages"), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey, 'Order ' || o_orderkey || chr(10) || 'Asked *' || o_custkey || '/' || o_orderkey || chr(10) || '(1) ' || o_orderpriority AS question, '(1) ' || o_orderstatus || chr(10) || 'in ' || year(o_orderdate) AS answer,
+0.8 AS confidence, 'Order ' || o_orderkey AS subject, o_custkey || '/' || o_orderkey AS question_ref FROM orders""")
+def i26_two_columns(spark, sf):
+    head = F.format_string("Order %d\n7\nAsked *%d/%d\n\u0aaa\u0acd\u0ab0\u0ab6\u0acd\u0aa8      \u0a9c\u0ab5\u0abe\u0aac\n", "o_orderkey", "o_custkey", "o_orderkey")
+    body = F.format_string("%s(1) %s\n%sin %d", F.rpad(F.concat(F.lit("(1) "), "o_orderpriority"), 40, " "), "o_orderstatus", F.lit(" " * 40), F.year("o_orderdate"))
+    docs = table(spark, sf, "orders").select("o_orderkey", F.concat(head, body).alias("text"))
+    return layout.split_columns(docs, "o_orderkey", "text").drop("marker")
+
+
+@query("SELECT c_custkey, 2 AS line_no, c_mktsegment AS district, 2 AS n, CAST(c_nationkey AS DOUBLE) AS primary_figure, CAST(c_nationkey + c_custkey AS DOUBLE) AS total FROM customer")
+def i27_district_figures(spark, sf):
+    customers = table(spark, sf, "customer")
+    districts = [r[0] for r in customers.select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(100).collect()]
+    spaced = F.concat(F.substring("c_mktsegment", 1, 2), F.lit(" "), F.expr("substring(c_mktsegment, 3)"))
+    docs = customers.select("c_custkey", F.concat(F.lit("of "), "c_mktsegment", F.lit("\n"), spaced, F.format_string(" (1) 31/12/2025 %d  %,d", "c_nationkey", "c_custkey")).alias("text"))
+    total = F.aggregate("figures", F.lit(0.0), lambda a, x: a + x)
+    return layout.district_figures(docs, "c_custkey", "text", districts).select("c_custkey", "line_no", "district", F.size("figures").alias("n"), "primary_figure", total.alias("total"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size < 13 THEN 'unknown' WHEN p_size < 25 OR p_name NOT LIKE '%e%' AND (p_size < 38 OR p_name NOT LIKE '%d%') THEN 'clean' WHEN p_size >= 38 AND p_name LIKE '%e%' AND p_name LIKE '%d%' THEN 'low' ELSE 'repaired' END AS quality FROM part""")
+def i28_repair(spark, sf):
+    marked = F.when(F.col("p_size") < 25, F.col("p_name")).when(F.col("p_size") < 38, F.translate("p_name", "e", "\u0ae1")).otherwise(F.translate("p_name", "ed", "\u0ae1\u0ae1"))
+    docs = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("1\n"), marked, F.lit("\nmore")).alias("text"), F.when(F.col("p_size") >= 13, F.col("p_name")).alias("subject"))
+    return layout.repaired(docs, "text", "subject").select("p_partkey", "quality")

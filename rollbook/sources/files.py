@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from rollbook.operators.relational import last_row
+
 CORRUPT = "_corrupt"
 #: Where a row stands in its file: rows of one split are in order, and splits by their offset.
 POSITION = "_position"
@@ -172,3 +174,15 @@ def verify_manifest(spark: SparkSession, manifest: DataFrame, folder: str, path:
     out = manifest.join(found, F.col(path) == F.col("_name"), "left")
     verdict = F.when(F.col("_name").isNull(), "missing").when(F.col(sha).isNotNull() & (F.col(sha) != F.col("_sha")), "sha_differs").when(F.col(size).isNotNull() & (F.col(size) != F.col("_size")), "size_differs").otherwise("ok")
     return out.withColumn("verdict", verdict).drop("_name", "_sha", "_size")
+
+
+def still_verifies(spark: SparkSession, manifest: DataFrame, folder: str, key: str, order: str, accepts=None) -> DataFrame:
+    """The last row of each key, by `order`, whose file need not be fetched again: its status is ok,
+    the file is there, it hashes as recorded (if that is recorded), and `accepts` (a predicate on the
+    column `content`) holds. Columns status, local_file and sha256 are read."""
+    last = last_row(manifest, [key], [order]).where("status = 'ok' AND local_file != ''")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.regexp_replace(F.col("path"), r"^.*?/" + re.escape(folder.rstrip("/").rpartition("/")[2]) + "/", "")
+    sound = F.lit(True) if accepts is None else accepts(F.col("content"))
+    found = files.select(name.alias("_name"), F.sha2("content", 256).alias("_sha"), sound.alias("_sound")).where("_sound")
+    return last.join(found, (F.col("local_file") == F.col("_name")) & (F.coalesce(F.nullif("sha256", F.lit("")), F.col("_sha")) == F.col("_sha")), "left_semi")
