@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollbook.functions import text
+from rollbook.functions.affidavit import affidavit
 from rollbook.operators import layout, pages
 from rollbook.registry import query, table
 
@@ -70,3 +71,11 @@ def i28_repair(spark, sf):
     marked = F.when(F.col("p_size") < 25, F.col("p_name")).when(F.col("p_size") < 38, F.translate("p_name", "e", "\u0ae1")).otherwise(F.translate("p_name", "ed", "\u0ae1\u0ae1"))
     docs = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("1\n"), marked, F.lit("\nmore")).alias("text"), F.when(F.col("p_size") >= 13, F.col("p_name")).alias("subject"))
     return layout.repaired(docs, "text", "subject").select("p_partkey", "quality")
+
+
+@query("""SELECT c_custkey, c_name || ' & co' AS name, CASE WHEN c_nationkey = 1 THEN 'Winner' END AS winner_status, c_mktsegment AS party, CAST(NULL AS VARCHAR) AS spouse_profession, CAST(c_nationkey AS BIGINT) AS age, CAST(c_custkey AS BIGINT) AS assets_rupees FROM customer""")
+def m12_affidavit(spark, sf):
+    won = F.when(F.col("c_nationkey") == 1, "<font size=2>(Winner)</font>").otherwise("")
+    html = F.concat(F.lit("<h2>"), "c_name", F.lit(" &amp; co "), won, F.lit("</h2><b>Party:</b> "), "c_mktsegment", F.format_string("<br><b>Age:</b> %d<p>Assets:</td><td> <b>Rs&nbsp;%,d</b>", "c_nationkey", "c_custkey"))
+    pages_ = table(spark, sf, "customer").select("c_custkey", affidavit(html).alias("a"))
+    return pages_.select("c_custkey", "a.name", "a.winner_status", "a.party", "a.spouse_profession", "a.age", "a.assets_rupees")
