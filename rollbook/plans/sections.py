@@ -59,7 +59,9 @@ def i26_two_columns(spark, sf):
 @query("SELECT c_custkey, 2 AS line_no, c_mktsegment AS district, 2 AS n, CAST(c_nationkey AS DOUBLE) AS primary_figure, CAST(c_nationkey + c_custkey AS DOUBLE) AS total FROM customer")
 def i27_district_figures(spark, sf):
     customers = table(spark, sf, "customer")
-    districts = [r[0] for r in customers.select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(100).collect()]
+    districts = [r[0] for r in customers.select("c_mktsegment").distinct().limit(1001).collect()]
+    if len(districts) > 1000:
+        raise ValueError("more than 1,000 market segments are no gazetteer")
     spaced = F.concat(F.substring("c_mktsegment", 1, 2), F.lit(" "), F.expr("substring(c_mktsegment, 3)"))
     docs = customers.select("c_custkey", F.concat(F.lit("of "), "c_mktsegment", F.lit("\n"), spaced, F.format_string(" (1) 31/12/2025 %d  %,d", "c_nationkey", "c_custkey")).alias("text"))
     total = F.aggregate("figures", F.lit(0.0), lambda a, x: a + x)
