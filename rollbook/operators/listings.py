@@ -14,6 +14,7 @@ DEMAND = r"(?i)demand|grant|मां?ग|अनुदान"
 DEMAND_FILE = r"(?i)ddg"
 YEAR = r"(20\d{2})\s*[-_– ]?\s*(?:20)?(\d{2})"
 REPORT_YEAR = r"(20\d{2})\s*[-–_]\s*(?:20)?(\d{2})"
+DASHED_YEAR = r"(20\d{2})\s*[-–]\s*(?:20)?(\d{2})"
 LANGUAGE = r"(?i)(?<![a-z])(english|hindi)(?![a-z])"
 RECRUITMENT = r"(?i)\b(advertisement|advt|recruitment|vacancy|position|opening|job|jobs|fellow|jrf|srf|post[- ]?doctoral|research\s+associate|project\s+scientist|professor|faculty\s+recruitment)\b"
 NAVIGATION = (
@@ -32,8 +33,20 @@ def absolute(base, href) -> Column:
     return F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:]*:)", 1), href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(folder, F.lit("/"), F.regexp_replace(href, r"^(\./)+", "")))
 
 
+def _following(text, pattern: str) -> Column:
+    """The first two years, digits of no longer number, of which the second follows the first; a
+    year may be the second of one pair and the first of the next."""
+    pairs = F.regexp_extract_all(text, F.lit(rf"(?<!\d)(?=({pattern}(?!\d)))20"), F.lit(1))
+    short = F.transform(pairs, lambda x: F.concat_ws("-", F.substring(x, 1, 4), F.right(x, F.lit(2))))
+    return F.get(F.filter(short, lambda x: (F.substring(x, 3, 2).cast("int") + 1) % 100 == F.right(x, F.lit(2)).cast("int")), 0)
+
+
 def _year(*texts, pattern: str = YEAR) -> Column:
-    return F.coalesce(*(F.when(t.rlike(pattern), F.concat_ws("-", F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2))) for t in texts))
+    """Of the first text that has one: a financial year with a dash, else one of the pattern, else
+    whatever fits the pattern first. An address may hold other numbers before the year: in
+    2012_2021-22 the first to fit the pattern would be 2012-21."""
+    first = lambda t: F.when(t.rlike(pattern), F.concat_ws("-", F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2)))
+    return F.coalesce(*(x for t in texts for x in (_following(t, DASHED_YEAR), _following(t, pattern), first(t))))
 
 
 def _linked(rows: DataFrame, key: str, url: str, html: str) -> DataFrame:

@@ -14,6 +14,16 @@ def test_demands_and_reports(spark):
     assert got == [("2024-25", "hindi", "Annual Report 2024-25 Hindi_V3.pdf"), ("2025-26", "english", "AR_2025-26.pdf")]
 
 
+def test_year_behind_other_numbers(spark):
+    """A key before the year is no year, even if it looks like one."""
+    names = {"2012_2021-22": "2021-22", "12012_2021-22": "2021-22", "2020_2021-22": "2021-22", "202223_2021–2022": "2021-22", "2010_2021_22": "2021-22", "2099-2100": "2099-21", "v2_202122": "2021-22", "1999-00": None, "2019_20202": "2019-20", "2099_2000": "2099-00"}
+    html = "".join(f'<a href="/d/{x}.pdf">Demand no. 7</a>' for x in names)
+    got = {r.url[len("https://h.in/d/") : -4]: r.year for r in listings.demand_documents(site(spark, html), "k", "u", "t").collect()}
+    assert got == {k: v for k, v in names.items() if v}
+    files = [(r.filename, r.year) for r in listings.annual_reports(site(spark, '<a href="/2012_AR_2013_2021-22.pdf">x</a>'), "k", "u", "t").collect()]
+    assert files == [("2012_AR_2013_2021-22.pdf", "2021-22")]
+
+
 def test_recruitment(spark):
     html = '<a href="#a">jobs</a><a href="/careers">Careers</a><a href="ad1.pdf">Advertisement 1</a><a href="./ad1.pdf">Advt again</a><a href="/jobs/jobs/12">Click here</a><a href="/x">News</a>'
     got = sorted((r.url, r.title, r.generic) for r in listings.recruitment_links(site(spark, html), "k", "u", "t").collect())
