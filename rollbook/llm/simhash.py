@@ -277,7 +277,7 @@ def _near_copies(docs: DataFrame, words: int, id_col: str, text_col: str) -> Dat
         return [np.unique(shingle_hashes(t.encode(), words)) for t in texts]
 
     buckets = classes.where("k0 IS NOT NULL").select("node", F.explode(F.array(*_KEYS)).alias("bucket")).select("bucket", "node")
-    alike = lines.similar_components(buckets, texts_of_nodes, shingled, CHARS)
+    alike = lines.similar_components(lines.stars_of(buckets), texts_of_nodes, shingled, CHARS)
     fps = settle(classes.groupBy("fp").agg(F.min("node").alias("node")), "fps")
     same = classes.select("fp", F.col("node").alias("a")).join(fps.select("fp", F.col("node").alias("b")), "fp").where("a != b").select("a", "b")
     components = connected_components(hamming_links(fps).unionByName(alike.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(same))
